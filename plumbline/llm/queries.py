@@ -9,12 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.llm.common import table
 
 
+def op2_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.bpe import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.warc import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op5_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.simhash import near_duplicates
 
@@ -28,8 +40,18 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op5_simhash_pigeonring)}
+    return {f.__name__: f for f in (op2_bpe_transducer, op3_best_fit_packing, op4_warc_normaliser, op5_simhash_pigeonring)}
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS d, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+f AS (SELECT d, n, max(page_id) AS m FROM p WHERE n >= 1000 GROUP BY d, n)
+SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN f.m IS NOT NULL AND f.m IS DISTINCT FROM p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f.m IS DISTINCT FROM p.page_id THEN f.m END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d AND p.n = f.n
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc_normaliser": OP4_SQL}
