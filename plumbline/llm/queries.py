@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import table
 
 
+def op1_ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.ngram import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.bpe import encode_documents
 
@@ -57,7 +63,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_transducer, op3_best_fit_packing, op4_warc_normaliser, op5_simhash_pigeonring, op8_temporal_list_join, op10_reply_trees)}
+    return {f.__name__: f for f in (op1_ngram_perplexity, op2_bpe_transducer, op3_best_fit_packing, op4_warc_normaliser, op5_simhash_pigeonring, op8_temporal_list_join, op10_reply_trees)}
 
 
 OP4_SQL = """
