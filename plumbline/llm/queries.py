@@ -40,6 +40,20 @@ def op5_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.permutation_index import search
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def op7_toxicity_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import quality, toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), folds=4, fold=2)
+
+
 def op8_temporal_list_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.url_filter import dated_list, fetch_times, filter_captures
 
@@ -48,6 +62,13 @@ def op8_temporal_list_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", F.date_format("fetched", "yyyy-MM-dd HH:mm:ss").alias("fetched"), "blocked", "entry", F.date_format("since", "yyyy-MM-dd").alias("since"), "n_entries")
 
 
+def op9_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")), folds=5, fold=0)
+
+
 def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.chat import conversation_digests
 
@@ -63,7 +84,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_perplexity, op2_bpe_transducer, op3_best_fit_packing, op4_warc_normaliser, op5_simhash_pigeonring, op8_temporal_list_join, op10_reply_trees)}
+    own = (
+        op1_ngram_perplexity, op2_bpe_transducer, op3_best_fit_packing, op4_warc_normaliser, op5_simhash_pigeonring,
+        op6_permutation_index, op7_toxicity_bigru, op8_temporal_list_join, op9_random_indexing_quality, op10_reply_trees, pipeline,
+    )
+    return {f.__name__: f for f in own}
 
 
 OP4_SQL = """

@@ -138,3 +138,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = placed.join(names, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Ids up to which those that go are broadcast against the documents; more are joined by a shuffle.
+FEW = 500_000
+KEY = "__plumbline_key"
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, crowded: int = 16) -> DataFrame:
+    """The rows of docs, all columns, of each near-duplicate class's smallest id; one row where that id repeats.
+
+    Rows without an id come after all others and among themselves by a hash of their
+    text, so a class keeps one of them only if it has no other row.
+    """
+    key = F.struct(F.col(id_col).isNull().alias("n"), F.coalesce(F.col(id_col).cast("bigint"), F.xxhash64(text_col)).alias("id"))
+    found = stored(near_duplicates(docs.select(key.alias("doc_id"), text_col), "doc_id", text_col, width, radius, crowded).select("doc_id", "component_id"))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    if gone.count() <= FEW:
+        gone = F.broadcast(gone)
+    kept = docs.withColumn(KEY, key).join(gone, F.col(KEY) == gone.gone, "left_anti")
+    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([KEY])
+    return kept.drop(KEY)
