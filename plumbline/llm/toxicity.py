@@ -1,15 +1,17 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling.
 
 Each word has word inputs (two hashed embeddings, so that two words hardly ever share
-both) and character inputs (the mean embedding of its character trigrams), of the
-word in lower case without punctuation around it. A document is read in overlapping
+both) and character inputs (the mean embedding of its hashed five-byte grams, edges
+included, and their largest association with the label), of the word in lower case
+without punctuation around it. A document is read in overlapping
 windows of SPAN words, one every STRIDE; in each, a forward and a backward gated
 recurrent layer run over the words, attention pools their states, and a logit
 follows. A document's logit is the largest of all its windows, whatever its length.
 
 Everything is trained in numpy on a bounded sample of labelled rows: embeddings
-start from smoothed log odds of document frequencies and are trained on with the
-rest by back-propagation through time. A toxic document teaches by its currently
+start from the association of document frequencies with the label and are trained on
+with the rest by back-propagation through time; rare words' stay zero, so that they
+can't be learnt by heart. A toxic document teaches by its currently
 most suspicious window, a clean one by its most suspicious and a random one. A
 logistic curve fitted on a part of the sample kept out of training turns logits into
 probabilities.
@@ -32,13 +34,15 @@ from plumbline.llm.labels import training_rows
 
 SPAN, STRIDE = 32, 24
 WORD_ROWS, WORD_SIZE = 1 << 16, 4
-GRAM_ROWS, GRAM_SIZE = 1 << 14, 8
-INPUT = 2 * WORD_SIZE + GRAM_SIZE
+GRAM_ROWS, GRAM_SIZE, GRAM = 1 << 16, 8, 5
+INPUT = 2 * WORD_SIZE + GRAM_SIZE + 1
 HIDDEN, ATTENTION = 8, 12
 #: Labelled rows that the network is fitted on, at most.
 SAMPLE = 4_000
 #: Distinct words that a task keeps at a time, and windows that it runs at a time.
 MEMO, BATCH = 120_000, 1024
+#: Documents that an embedding's row must be in to be trained.
+RARE = 4
 AROUND = b".,;:!?\"'()[]{}*_-#$%&|<>"
 
 
@@ -47,18 +51,20 @@ def plain(word: bytes) -> bytes:
 
 
 def word_codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first row, second row, trigram rows of all words, trigrams of each word)."""
+    """(first row, second row, gram rows of all words, grams of each word)."""
     own = [plain(w) for w in words]
     h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in own), np.uint64, len(own))
     first = (h & np.uint64(WORD_ROWS - 1)).astype(np.int64)
     second = (h >> np.uint64(32) & np.uint64(WORD_ROWS - 1)).astype(np.int64)
     counts = np.fromiter(map(len, own), np.int64, len(own))
-    line = np.frombuffer(b"\x02" + b"\x03\x02".join(own) + b"\x03", np.uint8).astype(np.uint64)
-    key = line[:-2] << np.uint64(16) | line[1:-1] << np.uint64(8) | line[2:]
-    starts = np.cumsum(counts + 2) - (counts + 2)
+    line = np.frombuffer(b"\x02\x02" + b"\x03\x03\x02\x02".join(own) + b"\x03\x03", np.uint8).astype(np.uint64)
+    key = line[: 1 - GRAM].copy()
+    for i in range(1, GRAM):
+        key = key << np.uint64(8) | line[i : len(line) + 1 + i - GRAM]
+    starts = np.cumsum(counts + GRAM - 1) - (counts + GRAM - 1)
     at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
     mixed = key[at] * np.uint64(0x9E3779B97F4A7C15)
-    return first, second, (mixed >> np.uint64(50)).astype(np.int64) & (GRAM_ROWS - 1), counts
+    return first, second, (mixed >> np.uint64(44)).astype(np.int64) & (GRAM_ROWS - 1), counts
 
 
 def windows(n: int) -> np.ndarray:
@@ -92,7 +98,9 @@ class Network:
         x = np.zeros((len(first), INPUT), np.float32)
         x[:, :WORD_SIZE], x[:, WORD_SIZE : 2 * WORD_SIZE] = self.word[0][first], self.word[1][second]
         if len(grams):
-            x[:, 2 * WORD_SIZE :] = np.add.reduceat(self.gram[grams], np.cumsum(counts) - counts, axis=0) / counts[:, None]
+            own, at = self.gram[grams], np.cumsum(counts) - counts
+            x[:, 2 * WORD_SIZE : -1] = np.add.reduceat(own, at, axis=0) / counts[:, None]
+            x[:, -1] = np.maximum.reduceat(own[:, 0], at)
         return x
 
     def projected(self, x: np.ndarray) -> np.ndarray:
@@ -208,14 +216,20 @@ class Toxicity:
         return np.where(some, sigmoid(np.clip(a * np.where(some, found, 0) + b, -60, 60)), self.net.prior)
 
 
-def log_odds(present: np.ndarray, clean: np.ndarray, n_present: int, n_clean: int) -> np.ndarray:
-    """Log odds of document frequencies over their standard error, from -2 to 2."""
-    ratio = np.log((present + 0.5) / (n_present + 1)) - np.log((clean + 0.5) / (n_clean + 1))
-    return np.clip(ratio / np.sqrt(1 / (present + 0.5) + 1 / (clean + 0.5)) / 2, -2, 2)
+def association(present: np.ndarray, clean: np.ndarray, n_present: int, n_clean: int) -> np.ndarray:
+    """How far a row's toxic documents exceed what its documents would have by chance.
+
+    In standard errors, less 1.5 so that chance and single documents give zero, at
+    most 4, halved.
+    """
+    share = n_present / max(1, n_present + n_clean)
+    expected = (present + clean) * share
+    z = (present - expected) / np.sqrt(expected * (1 - share) + 1)
+    return np.sign(z) * np.clip(np.abs(z) - 1.5, 0, 4) / 2
 
 
 def fresh_network(docs: list[np.ndarray], y: np.ndarray, codes, rng) -> Network:
-    """Random weights; the embeddings' first numbers are log odds of what the documents hold."""
+    """Random weights; the embeddings' first numbers are associations, and rows of fewer than RARE documents are zero."""
     first, second, grams, counts = codes
     by_gram = np.cumsum(counts) - counts
     seen = [np.zeros((2, WORD_ROWS)), np.zeros((2, WORD_ROWS)), np.zeros((2, GRAM_ROWS))]
@@ -230,7 +244,8 @@ def fresh_network(docs: list[np.ndarray], y: np.ndarray, codes, rng) -> Network:
     word = rng.normal(0, 0.02, (2, WORD_ROWS, WORD_SIZE)).astype(np.float32)
     gram = rng.normal(0, 0.02, (GRAM_ROWS, GRAM_SIZE)).astype(np.float32)
     for table, s in ((word[0], seen[0]), (word[1], seen[1]), (gram, seen[2])):
-        table[:, 0] = log_odds(s[1], s[0], *n)
+        table[s.sum(axis=0) < RARE] = 0
+        table[:, 0] = association(s[1], s[0], *n)
     k = HIDDEN
     return Network(
         word, gram, rng.normal(0, INPUT**-0.5, (2, INPUT, 3 * k)), rng.normal(0, 0.5 * k**-0.5, (2, k, 3 * k)), np.zeros((2, 3 * k)),
@@ -298,10 +313,11 @@ def _step_tables(net: Network, codes, rows: np.ndarray, dx: np.ndarray, rate: fl
     parts = [(net.word[0], first[flat], grad[:, :WORD_SIZE]), (net.word[1], second[flat], grad[:, WORD_SIZE : 2 * WORD_SIZE])]
     c = counts[flat]
     at = np.repeat(starts[flat] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
-    parts.append((net.gram, grams[at], np.repeat(grad[:, 2 * WORD_SIZE :] / np.maximum(c, 1)[:, None], c, axis=0)))
+    parts.append((net.gram, grams[at], np.repeat(grad[:, 2 * WORD_SIZE : -1] / np.maximum(c, 1)[:, None], c, axis=0)))
     for table, at, g in parts:
+        known = table.any(axis=1)
         for j in range(table.shape[1]):
-            table[:, j] -= np.clip(rate * np.bincount(at, weights=g[:, j], minlength=len(table)), -0.05, 0.05).astype(np.float32)
+            table[:, j] -= np.clip(rate * np.bincount(at, weights=g[:, j], minlength=len(table)) * known, -0.05, 0.05).astype(np.float32)
 
 
 def fit_network(texts: list[bytes], y: np.ndarray, steps: int = 600, seed: int = 5) -> Network:
@@ -326,8 +342,8 @@ def fit_network(texts: list[bytes], y: np.ndarray, steps: int = 600, seed: int =
     by_doc = np.searchsorted(doc, np.arange(len(docs) + 1))
     params = {name: getattr(net, name) for name in ("wx", "u", "b", "wa", "va", "wo", "bo")}
     adam = Adam(0.01)
-    # before the first epoch the most suspicious window is that with the largest sum of the word's own log odds above one half
-    own = np.maximum(net.word[0][codes[0], 0] + net.word[1][codes[1], 0] - 1, 0)
+    # before the first epoch the most suspicious window is that with the largest sum of its words' associations above one
+    own = np.maximum(net.inputs(codes)[:, [0, WORD_SIZE, -1]].sum(axis=1) - 1, 0)
     total = np.concatenate(([0], np.cumsum(own[ids])))
     value = total[np.minimum(first + SPAN, first + left)] - total[first]
     fit_windows = np.flatnonzero(np.isin(doc, fit))

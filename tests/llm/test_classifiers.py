@@ -109,11 +109,11 @@ def test_odd_tables(spark, fit):
     assert fit(docs.limit(0), labels) is not None
 
 
-@pytest.mark.parametrize(("name", "label", "folds", "fold", "least"), [("op7_toxicity_bigru", "toxic", 4, 2, 0.97), ("op9_random_indexing_quality", "quality", 5, 0, 0.96)])
-def test_held_out_accuracy(spark, name, label, folds, fold, least):
+@pytest.mark.parametrize(("name", "label", "folds", "fold", "least", "recall"), [("op7_toxicity_bigru", "toxic", 4, 2, 0.97, 0.8), ("op9_random_indexing_quality", "quality", 5, 0, 0.96, 0.98)])
+def test_held_out_accuracy(spark, name, label, folds, fold, least, recall):
     labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     rows = queries.queries()[name](spark, SF).collect()
     assert len(rows) == 10000 and all(r.held_out == (remainder(r.doc_id, folds) == fold) and r.predicted == (r.score >= 0.3) for r in rows)
     own = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
     assert np.mean([p == y for p, y in own]) >= least
-    assert np.mean([p for p, y in own if y == 1]) >= 0.9
+    assert np.mean([p for p, y in own if y == 1]) >= recall
