@@ -114,12 +114,12 @@ def links(nodes: DataFrame, radius: int = 2, crowded: int = 16) -> DataFrame:
         chain |= ok
     pairs = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.fp") < F.col("b.fp")) & chain & (F.bit_count(diff) <= radius)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
     many = sized.where(F.col("n") > crowded).repartition("fp")
-    near = F.lit(None)
+    inside = F.lit(False)
     for i, (shift, bits) in enumerate(ring):
-        outside = [p for p in range(64) if not shift <= p < shift + bits]
-        named = F.transform(F.array(*[F.lit(_mask(p, 1)) for p in outside]), lambda x: F.col("fp").bitwiseXOR(x))
-        near = F.when(F.col("i") == i, F.concat(F.array("fp"), named)).otherwise(near)
-    named = many.select("fp", "i", F.explode(near).alias("z"))
+        inside |= (F.col("i") == i) & F.col("p").between(shift, shift + bits - 1)
+    flipped = F.col("fp").bitwiseXOR(F.expr("shiftleft(1L, p)"))
+    named = many.select("fp", "i", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("p")).where(~inside)
+    named = named.select("fp", "i", F.when(F.col("p") < 0, F.col("fp")).otherwise(flipped).alias("z"))
     centre = named.groupBy("i", "z").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("i", "z", "b")
     stars = named.join(centre, ["i", "z"]).where("fp <> b")
     return pairs.unionByName(stars.select(F.col("fp").alias("a"), "b")).distinct()
