@@ -140,3 +140,13 @@ def test_samples(spark):
     assert four.keys() > three.keys() and all(four[n] == k for n, k in three.items())
     assert [n - 1000 for n, _ in sorted(three.items(), key=lambda x: x[1])] == sampling.shuffled_positions(400, 30)
     assert sampling.sample_items(rows, 1000, "n").count() == 400
+
+
+def test_balanced_examples():
+    from plumbline.functions.examples import balanced_examples
+
+    pool = [(f"q{i}", ["a", "b", "c"], min(i % 4, 2)) for i in range(20)]
+    got = balanced_examples(pool, 6, 1)
+    assert got == balanced_examples(pool, 6, 1) and len({q[0] for q in got}) == 6
+    assert [q[2] for q in got[:3]] == [q[2] for q in got[3:]] and got[0][2] == 2
+    assert len(balanced_examples(pool, 99, 1)) == 20 and balanced_examples([], 3, 1) == []
