@@ -438,10 +438,11 @@ def uid_parse(spark, sf_dir):
     return own.select("p_partkey", *[f"u.{c}" for c in ("maker", "model", "provider", "driver", "date")], F.try_element_at("u.options", F.lit("mod")).alias("moderated"), "u.error")
 
 
-@query("SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey % 12 DESC, s_suppkey % 5 DESC, s_suppkey) AS place FROM supplier")
+@query("SELECT s_suppkey, dense_rank() OVER (ORDER BY s_suppkey % 12 DESC, s_suppkey % 5 DESC) AS place FROM supplier")
 def version_sort(spark, sf_dir):
     own = table(spark, sf_dir, "supplier").withColumn("version", F.concat_ws(".", F.col("s_suppkey") % 12, F.col("s_suppkey") % 5))
-    return own.select("s_suppkey", F.row_number().over(Window.orderBy(text.version_key(F.col("version")).desc(), "s_suppkey")).cast("bigint").alias("place"))
+    places = own.select("version").distinct().withColumn("place", F.row_number().over(Window.orderBy(text.version_key(F.col("version")).desc())).cast("bigint"))  # versions, not rows
+    return own.join(places, "version").select("s_suppkey", "place")
 
 
 @query("""SELECT r_regionkey, 'The following are multiple choice questions (with answers).' || chr(10) || 'Question: Which nation?' || chr(10) || string_agg(chr(64 + i::INTEGER) || ') ' || n_name, chr(10) ORDER BY n_name) || chr(10) || 'Answer:' AS prompt
