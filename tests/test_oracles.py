@@ -19,5 +19,5 @@ def test_entry(spark):
     assert got == dict(zip("vcr ncr src cse dfm spc prv ipv iwp hte ssh sxc".split(), want, strict=True))
 
 
-def test_every_query_but_samples_has_sql():
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"sample_items"}
+def test_every_query_has_sql():
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
