@@ -300,22 +300,22 @@ def _journals(spark, sf_dir):
     both = own.withColumn("journal", F.explode(F.array(F.lit("clean"), F.lit("broken"))))
     null = lambda kind: F.lit(None).cast(kind)
 
-    def entries(df, message, annotator=None, annotation=None, measurements=None, response=None):
-        return df.select("journal", F.col("number").alias("seq"), F.lit(message).alias("message"), "test", F.lit("s").alias("sut"), (F.lit(annotator) if annotator else null("string")).alias("annotator"), "prompt_id", (annotation if annotation is not None else null("string")).alias("annotation"), (measurements if measurements is not None else null("map<string,double>")).alias("measurements"), (response if response is not None else null("string")).alias("response_text"), null("string").alias("hazard"), null("double").alias("score"), null("bigint").alias("items_finished"), null("array<string>").alias("tests"), null("array<string>").alias("suts"), null("array<string>").alias("benchmarks"))
+    def entry(message, annotator=None, annotation=None, measurements=None, response=None):
+        given = {"message": (F.lit(message), "string"), "annotator": (annotator, "string"), "annotation": (annotation, "string"), "measurements": (measurements, "map<string,double>"), "response_text": (response, "string")}
+        return F.struct(*[(null(kind) if v is None else v.cast(kind)).alias(k) for k, (v, kind) in given.items()])
 
-    gap = (F.col("journal") == "clean") | (F.col("number") % 50 != 0)
+    broken = F.col("journal") == "broken"
     vote = F.to_json(F.struct(F.col("safe").alias("is_safe")))
-    parts = [entries(both, "queuing item"), entries(both, "fetched sut response"), entries(both.where((F.col("journal") == "broken") & (F.col("number") % 70 == 0)), "using cached sut response"), entries(both, "translated sut response", response=F.col("text")), entries(both.where(gap), "measured item quality", measurements=F.create_map(F.lit("is_safe"), F.col("safe").cast("double")))]
+    said = [entry("queuing item"), entry("fetched sut response"), F.when(broken & (F.col("number") % 70 == 0), entry("using cached sut response")), entry("translated sut response", response=F.col("text"))]
+    said.append(F.when(~broken | (F.col("number") % 50 != 0), entry("measured item quality", measurements=F.create_map(F.lit("is_safe"), F.col("safe").cast("double")))))
     for a in ("x", "y"):
-        parts += [entries(both, "fetched annotator response", a), entries(both, "translated annotation", a, annotation=vote)]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
+        said += [entry("fetched annotator response", F.lit(a)), entry("translated annotation", F.lit(a), vote)]
+    whole = both.select("journal", F.col("number").alias("seq"), "test", F.lit("s").alias("sut"), "prompt_id", F.explode(F.array_compact(F.array(*said))).alias("e")).select("journal", "seq", "e.message", "test", "sut", "e.annotator", "prompt_id", "e.annotation", "e.measurements", "e.response_text", *[null(k).alias(c) for c, k in (("hazard", "string"), ("score", "double"), ("items_finished", "bigint"), ("tests", "array<string>"), ("suts", "array<string>"), ("benchmarks", "array<string>"))])
     counts = both.groupBy("journal", "test").agg(F.count("*").alias("n"), F.count_if("safe").alias("k"))
     names = F.array(*[F.lit(f"t{i}") for i in range(3)])
     heads = spark.range(2).select(F.when(F.col("id") == 0, "clean").otherwise("broken").alias("journal"))
     extra = {"tests": names, "suts": F.array(F.lit("s")), "benchmarks": F.array(F.lit("general-private"))}
-    blank = entries(both.limit(0), "").columns
+    blank = whole.columns
     fill = lambda df, **have: df.select(*[(have[c] if c in have else F.col(c) if c in df.columns else F.lit(None)).cast(dict(whole.dtypes)[c]).alias(c) for c in blank])
     whole = whole.unionByName(fill(heads, message=F.lit("starting run"), seq=F.lit(0), **extra))
     whole = whole.unionByName(fill(heads, message=F.lit("hazard info"), hazard=F.lit("h"), tests=names, seq=F.lit(0)))
@@ -335,12 +335,12 @@ _AUDIT = """, d AS (SELECT 't' || number % 3 AS test, count(*) AS n, count(*) FI
 
 @query(_AUDIT.lstrip(", ") + '\nSELECT journal, test, sut, annotator, hazard, "check", passed FROM r', "items")
 def audit_matrix(spark, sf_dir):
-    return audit.check_journals(_journals(spark, sf_dir)).select("journal", "test", "sut", "annotator", "hazard", "check", "passed")
+    return audit.check_journals(_journals(spark, sf_dir).cache()).select("journal", "test", "sut", "annotator", "hazard", "check", "passed")
 
 
 @query(_AUDIT.lstrip(", ") + "\nSELECT journal, count(*) AS checks, count(*) FILTER (NOT passed) AS failed, bool_and(passed) AS passed FROM r GROUP BY journal", "items")
 def audit_summary(spark, sf_dir):
-    return audit.summary(audit.check_journals(_journals(spark, sf_dir)))
+    return audit.summary(audit.check_journals(_journals(spark, sf_dir).cache()))
 
 
 for _name in ("audit_matrix", "audit_summary"):
