@@ -40,6 +40,8 @@ from plumbline.llm.common import as_bytes, chunks
 LEXICON = 65_536
 #: Distinct words that a task keeps at a time, with ids (when encoding) or counts (when counting).
 MEMO = 300_000
+#: Distinct words, and distinct pieces of words, whose ids an encoder keeps at a time.
+KEPT = 500_000
 #: Symbols from which on a word is merged with a heap.
 LONG = 40
 #: Fixed value: the split pattern of the public word vocabulary.
@@ -230,14 +232,19 @@ class Encoder(dict):
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         super().__init__()
-        self.vocabulary, self.lexicon = vocabulary, lexicon
+        self.vocabulary, self.lexicon, self.parts = vocabulary, lexicon, {}
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= MEMO:
+        if len(self) >= KEPT:
             self.clear()
-        v, get = self.vocabulary, self.lexicon.get
-        found = b"".join([get(p) or array("I", v.merge(p)).tobytes() for p in v.pieces(word)])
-        self[word] = found
+        known = self.parts
+        found = self[word] = b"".join([known.get(p) or self._piece(p) for p in self.vocabulary.pieces(word)])
+        return found
+
+    def _piece(self, piece: bytes) -> bytes:
+        if len(self.parts) >= KEPT:
+            self.parts.clear()
+        found = self.parts[piece] = self.lexicon.get(piece) or array("I", self.vocabulary.merge(piece)).tobytes()
         return found
 
     def encode(self, text: bytes) -> bytes:
