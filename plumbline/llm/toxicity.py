@@ -64,7 +64,16 @@ def word_codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     starts = np.cumsum(counts + GRAM - 1) - (counts + GRAM - 1)
     at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
     mixed = key[at] * np.uint64(0x9E3779B97F4A7C15)
-    return first, second, (mixed >> np.uint64(44)).astype(np.int64) & (GRAM_ROWS - 1), counts
+    return first, second, (mixed >> np.uint64(48)).astype(np.int32), counts
+
+
+def parts(codes, size: int = 1 << 14):
+    """The codes of so many words after another, of no words once if there are none."""
+    first, second, grams, counts = codes
+    ends = np.concatenate(([0], np.cumsum(counts)))
+    for i in range(0, max(1, len(first)), size):
+        j = min(len(first), i + size)
+        yield first[i:j], second[i:j], grams[ends[i] : ends[j]], counts[i:j]
 
 
 def windows(n: int) -> np.ndarray:
@@ -105,7 +114,15 @@ class Network:
 
     def projected(self, x: np.ndarray) -> np.ndarray:
         """The words' share of the gates, for both directions: (words, 2, 3 * HIDDEN)."""
-        return np.stack([x @ self.wx[d] + self.b[d] for d in range(2)], axis=1).astype(np.float32)
+        return np.stack([(x @ self.wx[d] + self.b[d]).astype(np.float32) for d in range(2)], axis=1)
+
+    def words(self, codes) -> np.ndarray:
+        """projected() of many words, a part at a time."""
+        out, at = np.empty((len(codes[0]), 2, 3 * HIDDEN), np.float32), 0
+        for part in parts(codes):
+            out[at : at + len(part[0])] = self.projected(self.inputs(part))
+            at += len(part[0])
+        return out
 
     def run(self, xp: np.ndarray, mask: np.ndarray, keep: bool = False):
         """Logits of windows; xp (2, windows, SPAN, 3 * HIDDEN) with the second direction's time turned round, mask alike (2, windows, SPAN)."""
@@ -173,7 +190,7 @@ class Memo(dict):
 
     def settle(self) -> None:
         if self.fresh:
-            made = self.net.projected(self.net.inputs(word_codes(self.fresh)))
+            made = self.net.words(word_codes(self.fresh))
             self.proj = np.concatenate((self.proj, made))
             self.fresh = []
 
@@ -324,8 +341,11 @@ def fit_network(texts: list[bytes], y: np.ndarray, steps: int = 600, seed: int =
     """Train for at least so many batches of 64 windows, and four passes over the sample."""
     rng = np.random.default_rng(seed)
     numbers: dict[bytes, int] = {}
-    docs = [np.fromiter((numbers.setdefault(w, len(numbers)) for w in t.split()), np.int64) for t in texts]
-    codes = word_codes(list(numbers)) if numbers else (np.zeros(0, np.int64),) * 4
+    docs = [np.fromiter((numbers.setdefault(w, len(numbers)) for w in t.split()), np.int32) for t in texts]
+    known = list(numbers)
+    coded = [word_codes(known[i : i + (1 << 14)]) for i in range(0, len(known), 1 << 14)]
+    codes = tuple(np.concatenate(c) for c in zip(*coded, strict=True)) if coded else (np.zeros(0, np.int64),) * 4
+    del known, coded, numbers
     y = y.astype(np.float64)
     some = np.array([len(d) > 0 for d in docs], bool)
     if len(y) < 10 or not some.any() or y[some].min() == y[some].max():
@@ -343,14 +363,14 @@ def fit_network(texts: list[bytes], y: np.ndarray, steps: int = 600, seed: int =
     params = {name: getattr(net, name) for name in ("wx", "u", "b", "wa", "va", "wo", "bo")}
     adam = Adam(0.01)
     # before the first epoch the most suspicious window is that with the largest sum of its words' associations above one
-    own = np.maximum(net.inputs(codes)[:, [0, WORD_SIZE, -1]].sum(axis=1) - 1, 0)
+    own = np.concatenate([np.maximum(net.inputs(part)[:, [0, WORD_SIZE, -1]].sum(axis=1) - 1, 0) for part in parts(codes)])
     total = np.concatenate(([0], np.cumsum(own[ids])))
     value = total[np.minimum(first + SPAN, first + left)] - total[first]
     fit_windows = np.flatnonzero(np.isin(doc, fit))
     epochs = max(4, -(-steps // (-(-int(2 * len(fit) - y[fit].sum()) // 64))))
     for epoch in range(epochs):
         if epoch:
-            proj = net.projected(net.inputs(codes))
+            proj = net.words(codes)
             value[fit_windows] = logits(net, proj, ids, first[fit_windows], left[fit_windows])
         picked, target = [], []
         for i in fit:
@@ -373,8 +393,8 @@ def fit_network(texts: list[bytes], y: np.ndarray, steps: int = 600, seed: int =
             adam.move(params, g)
             _step_tables(net, codes, rows, dx, 0.3)
     model = Toxicity(net)
-    found = model.doc_logits([texts[i] for i in cal])
-    net.curve = fitted_curve(found, y[cal])
+    found = [model.doc_logits([texts[i] for i in cal[at : at + 64]]) for at in range(0, len(cal), 64)]
+    net.curve = fitted_curve(np.concatenate(found), y[cal])
     return net
 
 
