@@ -50,16 +50,23 @@ def _on(a: str, x: str, b: str, y: str) -> Column:
     return F.col(f"{a}.tree").eqNullSafe(F.col(f"{b}.tree")) & (F.col(f"{a}.{x}") == F.col(f"{b}.{y}"))
 
 
-def _lookups(nodes: DataFrame) -> list[DataFrame]:
-    """Level j: (tree, msg, up, total, hops) with up the 2**j-th ancestor, null beyond the root; total and hops of what was passed."""
-    level = cut(nodes.select("tree", "msg", F.col("parent").alias("up"), F.col("score").alias("total"), F.lit(1).cast("bigint").alias("hops")))
-    levels = [level]
+def _lookups(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Look-ups upwards, and (tree, msg, up, total, hops) of whole paths to a root.
+
+    Look-up j has (tree, msg, up, ..) of the messages that have a 2**j-th ancestor,
+    which is up; total and hops sum up what was passed. A message whose path is whole
+    is not joined again, so a few long branches don't make short ones work.
+    """
+    level = nodes.select("tree", "msg", F.col("parent").alias("up"), F.col("score").alias("total"), F.lit(1).cast("bigint").alias("hops"))
+    live, whole = level.where("up is not null"), level.where("up is null")
+    levels = [live]
     deepest = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    while 1 << len(levels) <= 2 * deepest and not level.where("up is not null").isEmpty():
-        a, b = level.alias("a"), level.alias("b")
-        level = cut(a.join(b, _on("a", "up", "b", "msg"), "left").select("a.tree", "a.msg", F.col("b.up").alias("up"), (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total"), (F.col("a.hops") + F.coalesce("b.hops", F.lit(0))).alias("hops")))
-        levels.append(level)
-    return levels
+    while 1 << len(levels) <= 2 * deepest and not live.isEmpty():
+        a, b = live.alias("a"), live.unionByName(whole).alias("b")
+        level = cut(a.join(b, _on("a", "up", "b", "msg")).select("a.tree", "a.msg", "b.up", (F.col("a.total") + F.col("b.total")).alias("total"), (F.col("a.hops") + F.col("b.hops")).alias("hops")))
+        live, whole = level.where("up is not null"), whole.unionByName(level.where("up is null"))
+        levels.append(live)
+    return levels, whole
 
 
 def root_to_leaf_paths(messages: DataFrame, paths: int | None = None) -> DataFrame:
@@ -74,14 +81,13 @@ def root_to_leaf_paths(messages: DataFrame, paths: int | None = None) -> DataFra
     a, b = own.alias("a"), own.alias("b")
     known = a.join(b.select("tree", "msg").alias("b"), _on("a", "parent", "b", "msg"), "left").select("a.tree", "a.msg", F.col("b.msg").alias("parent"), "a.role", "a.text", "a.score")
     nodes = cut(known)
-    levels = _lookups(nodes)
-    whole = levels[-1].where("up is null")
+    levels, whole = _lookups(nodes)
     parents = nodes.where("parent is not null").select("tree", "parent").distinct()
     leaves = whole.alias("a").join(parents.alias("b"), _on("a", "msg", "b", "parent"), "left_anti").select("tree", F.col("msg").alias("leaf"), (F.col("total") / F.col("hops")).alias("path_score"), "hops")
     ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("path_score"), "leaf")))
     listed = (ranked if paths is None else ranked.where(F.col("rank") <= paths)).withColumn("msg", F.col("leaf")).withColumn("depth", F.col("hops") - 1)
     for j in range(len(levels) - 1, -1, -1):
-        step = levels[j].select("tree", "msg", "up").where("up is not null")
+        step = levels[j].select("tree", "msg", "up")
         above = listed.alias("a").join(step.alias("b"), _on("a", "msg", "b", "msg")).select("a.tree", "a.leaf", "a.path_score", "a.hops", "a.rank", F.col("b.up").alias("msg"), (F.col("a.depth") - (1 << j)).alias("depth"))
         listed = cut(listed.unionByName(above))
     return listed.alias("a").join(nodes.alias("b"), _on("a", "msg", "b", "msg")).select("a.tree", "a.leaf", "a.rank", "a.path_score", "a.depth", "b.role", "b.text")
