@@ -34,7 +34,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import as_bytes, chunks
+from plumbline.llm.common import as_bytes, chunks, stored
 
 #: Words that are compiled, at most.
 LEXICON = 65_536
@@ -288,9 +288,23 @@ def piece_counts(docs: DataFrame, text_col: str = "text", vocabulary=public_voca
 
 
 def frequent_pieces(docs: DataFrame, size: int, text_col: str = "text", vocabulary=public_vocabulary) -> list[bytes]:
-    """The `size` most frequent pieces of all texts, ties by bytes. Brings that many rows to the driver, no more."""
-    top = piece_counts(docs, text_col, vocabulary).orderBy(F.desc("n"), "piece").limit(size)
-    return [bytes(r.piece) for r in top.collect()]
+    """The most frequent pieces of all texts, at most `size`, none that occurs once.
+
+    Pieces are taken by classes of count, a sixteenth of a power of two wide, as long
+    as whole classes fit. So the driver gets a row a class (some 1,000) and then the
+    pieces themselves, and no partition sends more than it holds of these.
+    """
+    counted = stored(piece_counts(docs, text_col, vocabulary).where("n > 1").withColumn("class", F.floor(F.log2("n") * 16).cast("int")))
+    classes = sorted(((r["class"], r["count"]) for r in counted.groupBy("class").count().collect()), reverse=True)
+    least, total = None, 0
+    for c, n in classes:
+        total += n
+        if total > size:
+            break
+        least = c
+    if least is None:
+        return []
+    return sorted(bytes(r.piece) for r in counted.where(F.col("class") >= least).select("piece").collect())
 
 
 def encode_documents(docs: DataFrame, size: int = LEXICON, id_col: str = "doc_id", text_col: str = "text", vocabulary=public_vocabulary, with_ids: bool = False) -> DataFrame:
