@@ -36,6 +36,8 @@ from plumbline.llm.common import LOWER_AZ, as_bytes, chunks, cut, stored
 from plumbline.llm.components import connected_components
 
 SEED = 42
+#: Nodes of a bucket from which on it names values: a node has 43 or 44 of them, and as many pairs in a bucket of 88.
+CROWDED = 88
 #: Hashes whose bits are counted at a time.
 BLOCK = 1 << 16
 
@@ -87,7 +89,7 @@ def _mask(shift: int, bits: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def links(nodes: DataFrame, radius: int = 2, crowded: int = 16) -> DataFrame:
+def links(nodes: DataFrame, radius: int = 2, crowded: int = CROWDED) -> DataFrame:
     """Links (a, b) between different fingerprints; their components are those of all pairs within the radius.
 
     In crowded buckets the links are a spanning subset (see the module); elsewhere
@@ -114,18 +116,18 @@ def links(nodes: DataFrame, radius: int = 2, crowded: int = 16) -> DataFrame:
         chain |= ok
     pairs = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.fp") < F.col("b.fp")) & chain & (F.bit_count(diff) <= radius)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
     many = sized.where(F.col("n") > crowded).repartition("fp")
-    inside = F.lit(False)
+    at, last = F.lit(None), F.lit(None)
     for i, (shift, bits) in enumerate(ring):
-        inside |= (F.col("i") == i) & F.col("p").between(shift, shift + bits - 1)
-    flipped = F.col("fp").bitwiseXOR(F.expr("shiftleft(1L, p)"))
-    named = many.select("fp", "i", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("p")).where(~inside)
-    named = named.select("fp", "i", F.when(F.col("p") < 0, F.col("fp")).otherwise(flipped).alias("z"))
+        at = F.when(F.col("i") == i, F.when(F.col("p") < shift, F.col("p")).otherwise(F.col("p") + bits)).otherwise(at)
+        last = F.when(F.col("i") == i, 63 - bits).otherwise(last)
+    named = many.select("fp", "i", F.explode(F.sequence(F.lit(-1), last)).alias("p")).withColumn("bit", at)
+    named = named.select("fp", "i", F.when(F.col("p") < 0, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(F.expr("shiftleft(1L, bit)"))).alias("z"))
     centre = named.groupBy("i", "z").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("i", "z", "b")
     stars = named.join(centre, ["i", "z"]).where("fp <> b")
     return pairs.unionByName(stars.select(F.col("fp").alias("a"), "b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, crowded: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, crowded: int = CROWDED) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs.
 
     component_id is the smallest doc_id reachable over links of at most radius
@@ -145,7 +147,7 @@ FEW = 500_000
 KEY = "__plumbline_key"
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, crowded: int = 16) -> DataFrame:
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, crowded: int = CROWDED) -> DataFrame:
     """The rows of docs, all columns, of each near-duplicate class's smallest id; one row where that id repeats.
 
     Rows without an id come after all others and among themselves by a hash of their
