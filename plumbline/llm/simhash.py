@@ -147,14 +147,25 @@ FEW = 500_000
 KEY = "__plumbline_key"
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, crowded: int = CROWDED) -> DataFrame:
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, crowded: int = CROWDED, similarity: float | None = None) -> DataFrame:
     """The rows of docs, all columns, of each near-duplicate class's smallest id; one row where that id repeats.
 
-    Rows without an id come after all others and among themselves by a hash of their
-    text, so a class keeps one of them only if it has no other row.
+    With a similarity the classes are those of shingle sets at least so similar (see
+    similar.py), without one those of near_duplicates().
+
+    A row goes by its id and a hash of its text, so an id with different texts takes
+    part in the class of each. Rows without an id come after all others, so a class
+    keeps one of them only if it has no other row. Every class keeps exactly one row.
     """
-    key = F.struct(F.col(id_col).isNull().alias("n"), F.coalesce(F.col(id_col).cast("bigint"), F.xxhash64(text_col)).alias("id"))
-    found = stored(near_duplicates(docs.select(key.alias("doc_id"), text_col), "doc_id", text_col, width, radius, crowded).select("doc_id", "component_id"))
+    key = F.struct(F.col(id_col).isNull().alias("n"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)).alias("id"), F.xxhash64(text_col).alias("text"))
+    keyed = docs.select(key.alias("doc_id"), text_col)
+    if similarity is None:
+        found = near_duplicates(keyed, "doc_id", text_col, width, radius, crowded).select("doc_id", "component_id")
+    else:
+        from plumbline.llm.similar import similar_classes
+
+        found = similar_classes(keyed, "doc_id", text_col, width, similarity)
+    found = stored(found)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
     if gone.count() <= FEW:
         gone = F.broadcast(gone)
