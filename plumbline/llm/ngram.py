@@ -13,9 +13,8 @@ is stored in sorted arrays of n-gram hashes with their log probability and log
 back-off weight; look-up is a binary search.
 
 A document's perplexity is exp(-mean log probability of its symbols). For every
-language there is a band: outer fences of the quartiles of log perplexity over all
-documents of that language that the base rules keep, never closer than MARGIN to the
-quartiles. A document outside its language's band is rejected.
+language there is a band: fences of the quartiles of log perplexity over all documents
+of that language that the base rules keep, never closer than MARGIN to the quartiles. A document outside its language's band is rejected.
 
 Null texts are empty; a document without words has no perplexity and fails the base
 rules. Null languages are one language. Rows with equal doc_id each get a row. An
@@ -40,8 +39,8 @@ EDGE = 63
 SYMBOLS = b"#*$%&|<>"
 #: Distinct words that a task keeps at a time.
 MEMO = 300_000
-#: Fences stand FENCE interquartile ranges, and at least MARGIN in log perplexity, outside the quartiles.
-FENCE, MARGIN = 3.0, 0.12
+#: Fences stand FENCE interquartile ranges, and at least MARGIN in log perplexity, outside the quartiles; MARGIN is for languages of a few documents only.
+FENCE, MARGIN = 2.0, 0.01
 
 
 def classes() -> np.ndarray:
