@@ -67,6 +67,17 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Bytes of input that a bucket of counts stands for, and how many buckets there are at least and at most.
+BUCKET, FEWEST, MOST = 4 << 20, 64, 1 << 20
+
+
+def buckets_for(df: DataFrame) -> int:
+    """A power of two of buckets, in proportion to the size of df's files as Catalyst knows it; FEWEST where it doesn't."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    wanted = size // BUCKET if size < 1 << 60 else FEWEST
+    return 1 << (min(max(wanted, FEWEST), MOST) - 1).bit_length()
+
+
 def as_bytes(name: str = "text"):
     """The text as UTF-8 bytes, null as empty; Python then splits without decoding."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary")

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -7,7 +8,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from plumbline.llm import ngram
-from plumbline.llm.ngram import EDGE, ORDER, Words, base_counts, discounts, estimate, grams, judge
+from plumbline.llm.ngram import BEFORE, UNKNOWN, WORDS, fit, judge, measure
+from plumbline.llm.spelling import discounts
+from plumbline.llm.words import blocks, hashes
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -21,77 +24,105 @@ def slow_base(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(again)
 
 
-def fast_base(text):
-    ids = {}
-    data = text.encode()
-    w = data.split()
-    return base_counts(data, w, np.array([ids.setdefault(x, len(ids)) for x in w], np.int64))
+def hashed(texts, size=1 << 20):
+    parts = [(hashes(data, start, end), of) for data, start, end, of in blocks(texts, size)]
+    return [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="ab \n\t\x1c\x85 é#|漢", max_size=80))
-def test_base_counts(text):
-    assert fast_base(text) == slow_base(text)
-
-
-def test_repeats_with_large_numbers():
-    ids = np.array([1 << 40, 5, 6, 1 << 40, 5, 6, 7], np.int64)
-    assert ngram.repeated_words(ids) == 6
-
-
-class SlowModel:
-    """Modified Kneser-Ney by definition, on symbol tuples."""
-
-    def __init__(self, words):
-        self.c = [None] * (ORDER + 1)
-        top = Counter()
-        for w in words:
-            s = [EDGE] * (ORDER - 1) + [int(ngram.CLASSES[b]) for b in w] + [EDGE]
-            for i in range(ORDER - 1, len(s)):
-                top[tuple(s[i - ORDER + 1 : i + 1])] += 1
-        raw = top
-        self.c[ORDER] = top
-        for n in range(ORDER - 1, 0, -1):
-            lefts, sums = defaultdict(set), Counter()
-            for g, k in raw.items():
-                lefts[g[1:]].add(g[0])
-                sums[g[1:]] += k
-            raw = Counter({g: sums[g] if n > 1 and g[0] == EDGE else len(x) for g, x in lefts.items()})
-            self.c[n] = raw
-        self.d = [None] + [discounts(np.array(list(self.c[n].values()))) for n in range(1, ORDER + 1)]
-
-    def p(self, g):
-        if not g:
-            return 1 / 64
-        n = len(g)
-        after = {x: k for x, k in self.c[n].items() if x[:-1] == g[:-1]}
-        total = sum(after.values())
-        if not total:
-            return self.p(g[1:])
-        cut = lambda k: self.d[n][min(k, 3) - 1]
-        k = after.get(g, 0)
-        return (k - cut(k) if k else 0) / total + sum(cut(x) for x in after.values()) / total * self.p(g[1:])
-
-
-def test_model_equals_the_definition():
-    words = [b"the", b"then", b"the", b"a", "é".encode(), b"abba", b"in###", b"the", b"in", b"thin", b"nth", b"hen"] * 2 + [b"inn", b"ten", b"net"]
-    key, _ = grams(words)
-    k, n = np.unique(key, return_counts=True)
-    model, slow = estimate(k, n), SlowModel(words)
-    for w in [b"the", b"thin", b"zzz", b"tent", "éa".encode(), b"#", b"q1"]:
-        keys, _ = grams([w])
-        want = [math.log(slow.p(tuple(int(x) >> 6 * (ORDER - 1 - i) & 63 for i in range(ORDER)))) for x in keys]
-        assert np.allclose(model.score(keys), want, atol=1e-9)
-    for context in [(EDGE,) * 3, (19, 7, 4), (1, 2, 3)]:
-        assert abs(sum(slow.p((*context, s)) for s in range(64)) - 1) < 1e-9
-
-
-def test_word_memo():
-    key, _ = grams([b"ab", b"ba"])
-    w = Words(estimate(*np.unique(key, return_counts=True)))
-    assert w.of([b"ab", b"ba", b"ab"]).tolist() == [0, 1, 0]
-    w.settle()
-    assert w.size.tolist() == [3, 3] and len(w.logp) == 2
+@given(st.lists(st.text(alphabet="ab \n\t\x1c\x85 é#|漢", max_size=60), min_size=1, max_size=4), st.sampled_from([3, 10, 1 << 20]))
+def test_base_counts(texts, size):
+    data = [t.encode() for t in texts]
+    h, of = hashed(data, size)
+    again = ngram.repeated_words(h, of, len(data))
+    words = np.bincount(of, minlength=len(data))
+    assert [(int(words[i]), *ngram.base_counts(d), int(again[i])) for i, d in enumerate(data)] == [slow_base(t) for t in texts]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.binary(max_size=40), min_size=1, max_size=4), st.sampled_from([1, 7, 1 << 20]))
+def test_equal_words_and_only_they_have_equal_hashes(texts, size):
+    words = [w for t in texts for w in t.split()]
+    h, of = hashed(texts, size)
+    assert of.tolist() == [i for i, t in enumerate(texts) for _ in t.split()]
+    assert len(h) == len(words) and len(set(zip(words, h.tolist()))) == len(set(words)) == len(set(h.tolist()))
+
+
+class SlowPairs:
+    """The model of pairs by definition, over lists of word numbers."""
+
+    def __init__(self, texts, size):
+        self.c = Counter(p for t in texts for p in zip([BEFORE, *t], t))
+        self.after, self.lefts = defaultdict(list), Counter(w for _, w in self.c)
+        for (u, _), n in self.c.items():
+            self.after[u].append(n)
+        self.d = [0.0, *discounts(np.array(list(self.c.values())))]
+        self.e = [0.0, *discounts(np.array(list(self.lefts.values())))]
+        self.size = size
+
+    def p(self, u, w, own=0):
+        kinds, k = len(self.c), self.lefts[w]
+        lower = max(k - self.e[min(k, 3)], 0) / kinds + sum(self.e[min(x, 3)] for x in self.lefts.values()) / kinds / self.size
+        if not self.after[u]:
+            return lower
+        n, total = self.c[u, w] - own, sum(self.after[u])
+        return max(n - self.d[min(n, 3)], 0) / total + sum(self.d[min(x, 3)] for x in self.after[u]) / total * lower
+
+
+def test_perplexity_equals_the_definition(spark, monkeypatch):
+    rng = random.Random(4)
+    said = [f"w{i}" for i in range(12)] + [f"rare{i}" for i in range(25)]
+    texts = [" ".join(rng.choices(said, [20 - i for i in range(12)] + [0.4] * 25, k=rng.randint(1, 60))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate([*texts, "", None])), "doc_id int, text string").selectExpr("*", "'en' lang").repartition(5)
+    monkeypatch.setattr(ngram, "KEEP", 300)
+    for share in (1e-9, 0.01, 1.0):
+        model = fit(df, share=share)
+        assert (share == 1e-9) == (len(model.hot.hashes) > 300) and (share < 1) == (len(model.hot.hashes) > 0)
+        number = {w: int(model.words(hashed([w.encode()])[0])[0]) for w in said}
+        often = Counter(w for t in texts for w in t.split())
+        assert {w for w, n in number.items() if n != UNKNOWN} == {w for w, n in often.items() if n >= 3}
+        ids = [[number[w] for w in t.split()] for t in texts]
+        slow = SlowPairs(ids, len(model.words))
+        assert abs(sum(slow.p(WORDS, w) for w in range(len(model.words))) - 1) < 1e-9
+        for leave_out in (True, False):
+            got = {r.doc_id: r for r in measure(df, model, leave_out).collect()}
+            assert got[60].log_perplexity is None and got[61].log_perplexity is None and len(got) == 62
+            for i, t in enumerate(ids):
+                own = Counter(zip([BEFORE, *t], t))
+                want = sum(math.log(slow.p(u, w, own[u, w] * leave_out)) for u, w in zip([BEFORE, *t], t))
+                spelled = sum(spelling(model, w) for w, n in zip(texts[i].split(), t) if n == UNKNOWN)
+                assert abs(got[i].log_perplexity + (want + spelled) / len(t)) < 1e-5
+                assert abs(got[i].log_spelling + sum(spelling(model, w) for w in texts[i].split()) / sum(len(w) + 1 for w in texts[i].split())) < 1e-5
+
+
+def spelling(model, word):
+    data = np.frombuffer(word.encode(), np.uint8)
+    return float(model.spelling.score(ngram.grams(data, np.array([0]), np.array([len(data)]))[0]).sum())
+
+
+def test_shuffled_words_are_more_perplexing(spark):
+    rng = random.Random(1)
+    follows = {w: rng.sample(range(200), 3) for w in range(200)}
+
+    def text(n=200):
+        w, out = 0, []
+        for _ in range(n):
+            w = rng.choice(follows[w])
+            out.append(f"word{w}")
+        return out
+
+    plain = [text() for _ in range(150)]
+    shuffled = [rng.sample(t, len(t)) for t in plain[:5]]
+    df = spark.createDataFrame([(i, " ".join(t), "en") for i, t in enumerate([*plain, *shuffled])], "doc_id int, text string, lang string")
+    got = {r.doc_id: r for r in judge(df).collect()}
+    for i in range(5):
+        assert got[150 + i].perplexity > 3 * got[i].perplexity and abs(got[150 + i].spelling_perplexity - got[i].spelling_perplexity) < 1e-5
+    assert not any(got[150 + i].kept for i in range(5)) and sum(got[i].kept for i in range(150)) >= 135
+
+
+def test_model_grows_with_the_corpus(spark):
+    sizes = [sum(len(ngram.unpacked(bytes(r.counts))) for r in fit(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).stored.collect()) for sf in ("sf0.001", "sf0.01")]
+    assert sizes[1] > 3 * sizes[0]
 
 
 def test_rows(spark):
@@ -104,7 +135,7 @@ def test_rows(spark):
     for r in got:
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
         assert not (r.base_failed and r.kept)
-        assert r.kept == (not r.base_failed and r.lower - 1e-9 <= r.perplexity <= r.upper + 1e-9)
+        assert r.kept == (not r.base_failed and r.lower - 1e-9 <= r.perplexity <= r.upper + 1e-9 and r.spelling_lower - 1e-9 <= r.spelling_perplexity <= r.spelling_upper + 1e-9)
     assert judge(df.limit(0)).collect() == []
 
 
@@ -118,6 +149,7 @@ def test_small_table_keeps_clean_documents(spark):
 
 
 def test_bands_reject_what_stands_apart(spark):
-    rows = [(i, False, 1.7 + i % 10 / 1000, "en") for i in range(100)] + [(200, False, 2.9, "en"), (201, False, 0.4, "en"), (202, True, 9.0, "en"), (203, False, 2.9, None), (204, False, None, "en")]
-    got = {r.lang: (r.lower, r.upper) for r in ngram.bands(spark.createDataFrame(rows, "doc_id int, base_failed boolean, log_perplexity double, lang string")).collect()}
-    assert 1.4 < got["en"][0] < 1.7 < got["en"][1] < 2.0 and got[None] == (2.9 - ngram.MARGIN, 2.9 + ngram.MARGIN)
+    rows = [(i, False, 1.7 + i % 10 / 1000, 0.5, "en") for i in range(100)] + [(200, False, 2.9, 0.5, "en"), (201, False, 0.4, 0.5, "en"), (202, True, 9.0, 0.5, "en"), (203, False, 2.9, 0.5, None), (204, False, None, None, "en")]
+    got = {r.lang: r for r in ngram.bands(spark.createDataFrame(rows, "doc_id int, base_failed boolean, log_perplexity double, log_spelling double, lang string")).collect()}
+    assert 1.4 < got["en"].lower < 1.7 < got["en"].upper < 2.0
+    assert np.allclose((got[None].lower, got[None].upper), (2.9 - 8 * ngram.MARGIN, 2.9 + 2 * ngram.MARGIN))
