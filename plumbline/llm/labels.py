@@ -15,10 +15,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, fo
     """(doc_id, label, text) of at most `most` documents with a label, outside the held-out fold.
 
     Which ones depends only on a hash of the id. An id labelled more than once has
-    the mean label, 0.5 counting as 1; null labels and ids are left out.
+    the mean label, 0.5 counting as 1; null labels and ids are left out. Of several
+    texts of an id the one of least hash teaches.
     """
     own = labels.select(F.col(id_col).alias("doc_id"), F.col(label).alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
     own = own.where(~held_out("doc_id", folds, fold)).groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     some = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    return texts.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "text")
+    return texts.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))

@@ -1,10 +1,10 @@
 """Quality classifier: random-indexing word vectors, pooled, and a two-layer network.
 
-Words share a row of the vector table by a bounded rule: a word of up to four bytes
-by itself, a longer one by its last three bytes, hashed to ROWS rows. Each row has a
-fixed sparse random index vector (a few +1 and -1), and its word vector is the sum of
-the index vectors of all rows within WINDOW words of it, over all documents. Rows are
-then centred and scaled to length one.
+Every whole word has a fixed sparse random index vector of its own (ONES entries of +1
+and -1 at places given by the hash of all its bytes). Its word vector is the sum of
+the index vectors of all words within WINDOW words of it, over all documents. Word
+vectors lie in a table of ROWS rows by that hash, so that every worker can hold it
+however many words there are; rows are then centred and scaled to length one.
 
 A document's features are the mean and the spread of its words' vectors and the
 length of the mean. A network with one hidden layer, trained here in numpy on a bounded sample of labelled rows,
@@ -13,7 +13,9 @@ turns it into a probability.
 
 Null texts are empty; a text without words has features zero and a score like any
 other. Without labels of both kinds every score is the labels' mean (0.5 without
-any). Rows with equal doc_id each get a row. An empty table gives no rows.
+any). Rows with equal doc_id each get a row. An empty table gives no rows. Very long
+texts are read in blocks, across whose edges words stay neighbours. Other columns of
+docs have no effect on scores, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,122 +28,121 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WHITE, as_bytes, chunks
+from plumbline.llm.arrays import packed, packed_sorted, starts, unpacked, unpacked_sorted
+from plumbline.llm.common import as_bytes, chunks
 from plumbline.llm.labels import held_out, training_rows
+from plumbline.llm.words import blocks, hashes
 
-ROWS, SIZE, ONES, WINDOW = 4096, 64, 4, 2
+ROWS, SIZE, ONES, WINDOW = 1 << 18, 64, 4, 2
+#: Rows of a segment, in which the sums of tasks are added up.
+SEGMENT = 1 << 10
+#: Entries of finished vectors are whole parts of this.
+PARTS = 127
 HIDDEN = 24
 #: Mean, spread, and the length of the mean.
 FEATURES = 2 * SIZE + 1
 #: Labelled rows that the network is fitted on, at most.
 SAMPLE = 6_000
-BLOCK = 1 << 22
-BLANK = np.zeros(256, bool)
-BLANK[list(WHITE)] = True
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
-def _block_rows(data: np.ndarray) -> np.ndarray:
-    blank = np.empty(len(data) + 2, bool)
-    blank[0] = blank[-1] = True
-    blank[1:-1] = BLANK[data]
-    edges = np.flatnonzero(blank[1:] != blank[:-1])
-    start, end = edges[::2], edges[1::2]
-    length = end - start
-    key = np.zeros(len(start), np.int64)
-    for back in range(1, 5):
-        use = (length >= back) & ((length <= 4) | (back < 4))
-        key[use] |= data[end[use] - back].astype(np.int64) << 8 * (back - 1)
-    key |= np.minimum(length, 5) << 32
-    return (_mixed(key) % np.uint64(ROWS - 1)).astype(np.uint16) + np.uint16(1)
-
-
-def word_rows(text: bytes) -> np.ndarray:
-    """Row of each word, from 1; row 0 is nobody's. Very long texts go in blocks cut at white space."""
-    if len(text) <= BLOCK:
-        return _block_rows(np.frombuffer(text, np.uint8))
-    out, at = [], 0
-    while at < len(text):
-        end = min(len(text), at + BLOCK)
-        while end < len(text) and text[end] not in WHITE:
-            end += 1
-        out.append(_block_rows(np.frombuffer(text, np.uint8, end - at, at)))
-        at = end
-    return np.concatenate(out)
-
-
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """(positions, signs) of each row's index vector; row 0's is zero."""
-    rng = np.random.default_rng(7)
-    at = np.array([rng.choice(SIZE, ONES, replace=False) for _ in range(ROWS)], np.int64)
-    sign = np.tile(np.array([1.0, -1.0] * (ONES // 2)), (ROWS, 1))
-    sign[0] = 0
-    return at, sign
+#: Words whose vectors are summed at a time.
+BATCH = 1 << 13
+
+
+def rows_of(h: np.ndarray) -> np.ndarray:
+    """Row of each word's vector."""
+    return (h >> np.uint64(46)).astype(np.int64)
+
+
+def index_places(h: np.ndarray) -> np.ndarray:
+    """The ONES places of each word's index vector: the first half hold +1, the others -1; a place may hold more than one."""
+    shifts = np.arange(ONES, dtype=np.uint64) * np.uint64(6)
+    return (h[:, None] >> shifts & np.uint64(SIZE - 1)).astype(np.int64)
+
+
+def add_contexts(total: np.ndarray, h: np.ndarray, of: np.ndarray, done: int = 0) -> np.ndarray:
+    """Add to each word's row of total the index vectors of the words around it in its text; returns the rows. Pairs of the first `done` words are left out."""
+    rows, places = rows_of(h), index_places(h)
+    flat = total.reshape(-1)
+    for o in range(1, WINDOW + 1):
+        own = np.flatnonzero(of[:-o] == of[o:]) if len(of) > o else np.zeros(0, np.int64)
+        own = own[own + o >= done]
+        for x, y in ((own, own + o), (own + o, own)):
+            at = rows[x, None] * SIZE + places[y]
+            np.add.at(flat, at[:, : ONES // 2].ravel(), 1)
+            np.subtract.at(flat, at[:, ONES // 2 :].ravel(), 1)
+    return rows
 
 
 def context_sums(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(cell, n): cell = row * SIZE + position of the summed index vectors over all documents."""
+    """(segment, vectors): the summed index vectors of each segment's rows, scaled to length one, over all documents."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, sign = index_vectors()
-        total = np.zeros(ROWS * SIZE)
+        total, seen = np.zeros((ROWS, SIZE), np.int32), np.zeros(ROWS, bool)
         for b in chunks(batches):
-            apart = np.zeros(WINDOW, np.uint16)
-            line = np.concatenate([x for t in b.column(0).to_pylist() for x in (word_rows(t), apart)] or [apart]).astype(np.int64)
-            for lo in range(0, len(line), 1 << 20):
-                own = line[lo : lo + (1 << 20) + WINDOW]
-                for o in range(1, WINDOW + 1):
-                    a, c = own[: min(len(own), 1 << 20)], own[o : o + (1 << 20)]
-                    a = a[: len(c)]
-                    for x, y in ((a, c), (c, a)):
-                        for k in range(ONES):
-                            total += np.bincount(x * SIZE + at[y, k], weights=sign[y, k], minlength=ROWS * SIZE)
-        total[:SIZE] = 0
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells].astype(np.int64))], ["cell", "n"])
-
-    return docs.select(as_bytes(text_col).alias("data")).mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+            last, last_of = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # of a text that goes on in the next block
+            for data, start, end, of in blocks(b.column(0).to_pylist()):
+                h, of = np.concatenate((last, hashes(data, start, end))), np.concatenate((last_of, of))
+                seen[add_contexts(total, h, of, len(last))] = True
+                last, last_of = h[-WINDOW:], of[-WINDOW:]
+        rows = np.flatnonzero(seen)
+        at = starts(rows // SEGMENT)
+        for lo, hi in zip(at, np.append(at, len(rows))[1:], strict=True):
+            own = total[rows[lo:hi]].ravel()
+            own = (own << 1 ^ own >> 31).astype(np.uint32)  # signs go to the last bit
+            yield pa.RecordBatch.from_arrays([pa.array([rows[lo] // SEGMENT], pa.int32()), pa.array([packed_sorted(rows[lo:hi])], pa.binary()), pa.array([packed(own)], pa.binary())], ["segment", "rows", "sums"])
+
+    def merge(group: pa.Table) -> pa.Table:
+        segment = group["segment"][0].as_py()
+        total = np.zeros((SEGMENT, SIZE), np.int64)
+        for r, s in zip(group["rows"].to_pylist(), group["sums"].to_pylist(), strict=True):
+            x = unpacked(s)
+            total[unpacked_sorted(r).astype(np.int64) - segment * SEGMENT] += ((x >> np.uint64(1)).astype(np.int64) ^ -(x & np.uint64(1)).astype(np.int64)).reshape(-1, SIZE)
+        return pa.table({"segment": group["segment"][:1], "vectors": pa.array([unit(total.astype(np.float32)).tobytes()], pa.binary())})
+
+    sent = docs.select(as_bytes(text_col).alias("data")).mapInArrow(run, "segment int, rows binary, sums binary")
+    return sent.groupBy("segment").applyInArrow(merge, "segment int, vectors binary")
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """The ROWS x SIZE word vectors. Brings at most as many numbers to the driver."""
-    found = context_sums(docs, text_col).toArrow()
-    table = np.zeros(ROWS * SIZE)
-    table[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return finished_vectors(table.reshape(ROWS, SIZE))
-
-
-def finished_vectors(sums: np.ndarray) -> np.ndarray:
-    seen = (sums != 0).any(axis=1)
-    out = np.zeros(sums.shape, np.float32)
-    for _ in range(2):
-        length = np.linalg.norm(sums, axis=1, keepdims=True)
-        sums = np.divide(sums, length, out=np.zeros_like(sums), where=length > 0)
-        if seen.any():
-            sums[seen] -= sums[seen].mean(axis=0)
-    out[seen] = sums[seen]
-    return out
+    """The ROWS x SIZE word vectors. Brings as many numbers to the driver, which is 64 MB."""
+    table = np.zeros((ROWS, SIZE), np.float32)
+    for r in context_sums(docs, text_col).toArrow().to_pylist():
+        table[r["segment"] * SEGMENT : (r["segment"] + 1) * SEGMENT] = np.frombuffer(r["vectors"], np.float32).reshape(-1, SIZE)
+    return finished_vectors(table)
+
+
+def finished_vectors(table: np.ndarray) -> np.ndarray:
+    """Rows of length one, centred, scaled and centred again, in PARTS; rows of no word stay zero."""
+    seen = (table != 0).any(axis=1)
+    if seen.any():
+        for _ in range(2):
+            table = unit(table)
+            table[seen] -= table[seen].mean(axis=0)
+    return np.rint(np.clip(table, -1, 1) * PARTS).astype(np.int8)
 
 
 def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
     """Mean and spread of the word vectors of each text, texts without words zero."""
-    both = np.concatenate((vectors, vectors**2), axis=1)
+    sums = np.zeros((len(texts), 2 * SIZE))
+    counts = np.zeros(len(texts), np.int64)
+    for data, start, end, of in blocks(texts):
+        rows = rows_of(hashes(data, start, end))
+        counts += np.bincount(of, minlength=len(texts))
+        for lo in range(0, len(rows), BATCH):
+            own = of[lo : lo + BATCH]
+            at = starts(own)
+            x = vectors[rows[lo : lo + BATCH]].astype(np.float32)
+            sums[own[at], :SIZE] += np.add.reduceat(x, at, axis=0)
+            sums[own[at], SIZE:] += np.add.reduceat(x * x, at, axis=0)
+    means = sums / np.maximum(counts, 1)[:, None] / np.repeat([PARTS, PARTS**2], SIZE)
     out = np.zeros((len(texts), FEATURES), np.float32)
-    for lo in range(0, len(texts), 64):
-        rows = [word_rows(t) for t in texts[lo : lo + 64]]
-        counts = np.zeros((len(rows), ROWS), np.float32)
-        for i, r in enumerate(rows):
-            if len(r):
-                counts[i] = np.bincount(r, minlength=ROWS) / len(r)
-        means = counts @ both
-        means[:, SIZE:] = np.sqrt(np.maximum(means[:, SIZE:] - means[:, :SIZE] ** 2, 0))
-        out[lo : lo + len(rows), : 2 * SIZE] = means
-        out[lo : lo + len(rows), -1] = np.linalg.norm(means[:, :SIZE], axis=1)
+    out[:, :SIZE] = means[:, :SIZE]
+    out[:, SIZE:-1] = np.sqrt(np.maximum(means[:, SIZE:] - means[:, :SIZE] ** 2, 0))
+    out[:, -1] = np.linalg.norm(means[:, :SIZE], axis=1)
     return out
 
 

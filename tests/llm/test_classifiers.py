@@ -3,8 +3,9 @@ import zlib
 import numpy as np
 import pytest
 
-from plumbline.llm import quality, queries, toxicity
+from plumbline.llm import quality, queries, toxicity, words
 from plumbline.llm.labels import training_rows
+from plumbline.llm.words import word_hashes
 
 SF = "/root/testdata/sf0.1"
 
@@ -54,31 +55,55 @@ def test_batch_scores_equal_one_window_at_a_time():
         assert np.isclose(value, max(alone, default=-np.inf), atol=1e-5)
 
 
-def test_word_rows_by_definition():
-    text = "a the longer-word\x0bé日本語 tail\x1c x ".encode()
-    rows = quality.word_rows(text)
-    assert len(rows) == len(text.split()) and rows.min() >= 1
-    same = quality.word_rows(b"xxlonger-word yylonger-word ord abcd abce")
-    assert same[0] == same[1] != same[2] and same[3] != same[4]
-    block, quality.BLOCK = quality.BLOCK, 7
-    try:
-        assert quality.word_rows(text).tolist() == rows.tolist()
-    finally:
-        quality.BLOCK = block
-
-
-def test_context_sums_by_definition(spark):
-    texts = ["a b c a", None, "", "b", "c c"]
-    got = {r.cell: r.n for r in quality.context_sums(spark.createDataFrame([(t,) for t in texts], "text string")).collect() if r.n}
-    at, sign = quality.index_vectors()
-    want = np.zeros((quality.ROWS, quality.SIZE))
+def test_whole_words_have_their_own_rows():
+    words = [b"racing", b"dancing", b"killing", b"helping", b"string", b"thing", b"abusing", "日本語".encode(), "漢本語".encode(), b"ab", b"ba"]
+    rows = quality.rows_of(word_hashes(b" ".join(words)))
+    assert len(set(rows.tolist())) == len(words) and rows.max() < quality.ROWS
+    places = quality.index_places(word_hashes(b" ".join(words)))
+    assert len({tuple(p) for p in places.tolist()}) == len(words) and places.shape == (len(words), quality.ONES)
+
+
+@pytest.mark.parametrize("block", [4, 1 << 20])
+def test_context_sums_by_definition(spark, block):
+    texts = ["a b c a", None, "", "b", "c c", "one two three four five one two"]
+    total = np.zeros((quality.ROWS, quality.SIZE), np.int32)
+    want = np.zeros((quality.ROWS, quality.SIZE), np.int32)
     for t in texts:
-        rows = quality.word_rows((t or "").encode()).tolist()
-        for i, r in enumerate(rows):
+        last, last_of = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for data, start, end, of in words.blocks([(t or "").encode()], block):
+            h, of = np.concatenate((last, words.hashes(data, start, end))), np.concatenate((last_of, of))
+            quality.add_contexts(total, h, of, len(last))
+            last, last_of = h[-quality.WINDOW :], of[-quality.WINDOW :]
+        own = word_hashes((t or "").encode())
+        rows, places = quality.rows_of(own), quality.index_places(own)
+        for i, r in enumerate(rows.tolist()):
             for j in range(max(0, i - quality.WINDOW), min(len(rows), i + quality.WINDOW + 1)):
                 if j != i:
-                    np.add.at(want[r], at[rows[j]], sign[rows[j]])
-    assert got == {int(c): int(n) for c, n in enumerate(want.ravel()) if n}
+                    for k, at in enumerate(places[j].tolist()):
+                        want[r, at] += 1 if k < quality.ONES // 2 else -1
+    assert (total == want).all() and want.any()
+    if block > 4:
+        got = np.zeros((quality.ROWS, quality.SIZE), np.float32)
+        for r in quality.context_sums(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)).collect():
+            got[r.segment * quality.SEGMENT : (r.segment + 1) * quality.SEGMENT] = np.frombuffer(bytes(r.vectors), np.float32).reshape(-1, quality.SIZE)
+        assert np.allclose(got, quality.unit(want.astype(np.float32)), atol=1e-6)
+
+
+def test_pooled_by_definition():
+    rng = np.random.default_rng(0)
+    vectors = rng.integers(-127, 128, (quality.ROWS, quality.SIZE)).astype(np.int8)
+    texts = [b"", b"one", b"one two two " * 7000, b"x y"]
+    for t, got in zip(texts, quality.pooled(texts, vectors), strict=True):
+        v = vectors[quality.rows_of(word_hashes(t))].astype(float) / quality.PARTS
+        want = np.concatenate((v.mean(axis=0), v.std(axis=0), [np.linalg.norm(v.mean(axis=0))])) if len(v) else np.zeros(quality.FEATURES)
+        assert np.allclose(got, want, atol=1e-4)
+
+
+def test_a_labelled_id_with_several_texts_teaches_one_and_the_same(spark):
+    docs = spark.createDataFrame([(i % 20, f"text {i}") for i in range(400)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, toxic int")
+    found = [sorted((r.doc_id, r.label, bytes(r.text)) for r in training_rows(docs.repartition(n), labels, "toxic", 4, 2, 60).collect()) for n in (1, 3, 7)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == len({f[0] for f in found[0]})
 
 
 def test_temperature():
