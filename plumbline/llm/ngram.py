@@ -55,7 +55,7 @@ WIDE = 17
 #: Pairs with this share of all words are scored where the text is.
 SHARE = 1 / (1 << 17)
 #: Numbers that a task keeps before it sends them on, and documents of a block.
-KEEP, DOCUMENTS = 1 << 21, 1 << 16
+KEEP, DOCUMENTS = 1 << 20, 1 << 16
 #: Fences in interquartile ranges below and above the quartiles: of words and of symbols. MARGIN, in log perplexity, is the least such range.
 FENCES, MARGIN = {"words": (8.0, 2.0), "symbols": (2.5, 2.5)}, 0.005
 
@@ -439,7 +439,7 @@ class Block:
         ids, langs = (pa.concat_arrays([f[i] for f in self.facts]) for i in (0, 1))
         counts, spelling = (np.concatenate([f[i] for f in self.facts]) for i in (2, 3))
         fact = pa.RecordBatch.from_arrays([ids, langs, *(pa.array(counts[:, i]) for i in range(5)), pa.array(here), *(pa.array(spelling[:, i]) for i in range(3))], ["doc_id", "lang", *COLUMNS, "here", "unknown", "spelled", "symbols"])
-        rows.append((2, self.number % (grid.rows * grid.columns), self.number, _message(fact), None, None, None))
+        rows.append((2, (self.number + (self.number >> 32)) % (grid.rows * grid.columns), self.number, _message(fact), None, None, None))
         return _rows(rows)
 
 
