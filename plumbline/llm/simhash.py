@@ -156,8 +156,13 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     A row goes by its id and a hash of its text, so an id with different texts takes
     part in the class of each. Rows without an id come after all others, so a class
     keeps one of them only if it has no other row. Every class keeps exactly one row.
+    Ids are numbers or strings. Null texts are empty, all texts without words are one
+    class; very long texts are whole; ties go to the least id and then the least hash of
+    the text. An empty table gives no rows. Other columns pass through, whatever their
+    names (but for KEY).
     """
-    key = F.struct(F.col(id_col).isNull().alias("n"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)).alias("id"), F.xxhash64(text_col).alias("text"))
+    number = F.lit("") if docs.schema[id_col].dataType.simpleString() == "string" else F.lit(0).cast(docs.schema[id_col].dataType)
+    key = F.struct(F.col(id_col).isNull().alias("n"), F.coalesce(F.col(id_col), number).alias("id"), F.xxhash64(text_col).alias("text"))
     keyed = docs.select(key.alias("doc_id"), text_col)
     if similarity is None:
         found = near_duplicates(keyed, "doc_id", text_col, width, radius, crowded).select("doc_id", "component_id")

@@ -65,6 +65,20 @@ def test_chains_and_large_groups(spark):
     assert {tuple(r) for r in got} == slow_classes(rows) and len(got) == len(rows)
 
 
+def test_parts_of_a_large_bucket(spark):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(120):
+        text = list(base)
+        for _ in range(rng.randint(0, 4)):
+            text[rng.randrange(90)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for weight in (500, 3000, 10**6):
+        assert {tuple(r) for r in similar_classes(df, weight=weight).collect()} == slow_classes(rows)
+
+
 def test_stage_finds_similar_texts(spark):
     words = [f"w{i * i}" for i in range(200)]
     texts = [" ".join(words), " ".join([*words[:100], "changed", *words[101:]]), " ".join([*words[:60], *(f"v{i}" for i in range(60)), *words[120:]])]
