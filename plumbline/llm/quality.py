@@ -60,15 +60,18 @@ def index_places(h: np.ndarray) -> np.ndarray:
 
 def add_contexts(total: np.ndarray, h: np.ndarray, of: np.ndarray, done: int = 0) -> np.ndarray:
     """Add to each word's row of total the index vectors of the words around it in its text; returns the rows. Pairs of the first `done` words are left out."""
-    rows, places = rows_of(h), index_places(h)
-    flat = total.reshape(-1)
-    for o in range(1, WINDOW + 1):
-        own = np.flatnonzero(of[:-o] == of[o:]) if len(of) > o else np.zeros(0, np.int64)
-        own = own[own + o >= done]
-        for x, y in ((own, own + o), (own + o, own)):
-            at = rows[x, None] * SIZE + places[y]
-            np.add.at(flat, at[:, : ONES // 2].ravel(), 1)
-            np.subtract.at(flat, at[:, ONES // 2 :].ravel(), 1)
+    rows, places, each = rows_of(h), index_places(h), np.arange(len(h))
+    index = np.zeros((len(h), SIZE), np.int8)
+    for k in range(ONES):
+        index[each, places[:, k]] += 1 if k < ONES // 2 else -1
+    around = np.zeros((len(h), SIZE), np.int8)  # within WINDOW * 2 * ONES
+    for o in range(1, min(WINDOW, len(h) - 1) + 1):
+        own = (of[:-o] == of[o:]) & (each[o:] >= done)
+        around[:-o] += index[o:] * own[:, None]
+        around[o:] += index[:-o] * own[:, None]
+    order = np.argsort(rows, kind="stable")
+    at = starts(rows[order])
+    total[rows[order[at]]] += np.add.reduceat(around[order], at, axis=0, dtype=np.int32)
     return rows
 
 
