@@ -8,6 +8,8 @@ from string import Template
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plumbline.functions.tokens import Whitespace, first_tokens
+
 #: Java's Unicode white space lacks the four separators that Python strips.
 SPACE = r"[\s\x1c-\x1f]"
 THINK_END = "</think>"
@@ -79,13 +81,11 @@ def parse_guard(c: Column, categories: dict[str, str]) -> Column:
     )
 
 
-def answer_after_reasoning(c: Column, most_words: int | None = None) -> Column:
-    """Stripped text after the first end of reasoning, empty if there is none; at most so many words."""
+def answer_after_reasoning(c: Column, most: int | None = None, make=Whitespace) -> Column:
+    """Stripped text after the first end of reasoning, empty if there is none; at most so many tokens of the tokenizer that `make` makes."""
     at = F.instr(c, THINK_END)
     text = F.when(at > 0, strip(F.substr(c, at + len(THINK_END)))).otherwise("")
-    if most_words is None:
-        return text
-    return F.when(F.lit(most_words) == 0, "").otherwise(F.array_join(F.slice(F.split(text, rf"(?U){SPACE}+"), 1, max(1, most_words)), " "))
+    return text if most is None else first_tokens(text, most, make)
 
 
 def reasoning_cut_short(c: Column, budget: int) -> Column:

@@ -6,8 +6,10 @@ import json
 import platform
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.sources.datasets import ANNOTATIONS, RESPONSES, with_seed
 
@@ -28,12 +30,14 @@ def response_rows(df: DataFrame, jailbreak: bool = False, logprobs: bool = False
     return df.select(*[need(c) if c in ("prompt_uid", "prompt_text") else F.col(c) for c in cols], *([logprob_text(df).alias("sut_logprobs")] if logprobs else []))
 
 
+@F.pandas_udf(T.StringType())
+def _python_lists(given: pd.Series) -> pd.Series:
+    return given.map(lambda text: repr([[(t.get("token"), t.get("logprob")) for t in tokens] for tokens in json.loads(text or "[]")]))
+
+
 def logprob_text(df: DataFrame):
     """Token probabilities in Python's notation: a list of lists of (token, logprob); empty without any."""
-    quote = lambda t: F.when(F.contains(t, F.lit("'")) & ~F.contains(t, F.lit('"')), F.concat(F.lit('"'), t, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("\n"), F.lit("\\n")), F.lit("'")))
-    one = lambda p: F.concat(F.lit("("), quote(p.token), F.lit(", "), p.logprob.cast("string"), F.lit(")"))
-    lists = F.transform("top_logprobs", lambda ts: F.concat(F.lit("["), F.array_join(F.transform(ts, one), ", "), F.lit("]")))
-    return F.coalesce(F.concat(F.lit("["), F.array_join(lists, ", "), F.lit("]")), F.lit("[]"))
+    return _python_lists(F.to_json("top_logprobs"))
 
 
 def annotation_rows(df: DataFrame, jailbreak: bool = False) -> DataFrame:
