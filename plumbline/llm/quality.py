@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.arrays import packed, packed_sorted, starts, unpacked, unpacked_sorted
-from plumbline.llm.common import as_bytes, chunks
+from plumbline.llm.common import as_bytes, chunks, stored
 from plumbline.llm.labels import held_out, training_rows
 from plumbline.llm.words import blocks, hashes
 
@@ -111,21 +111,41 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """The ROWS x SIZE word vectors. Brings as many numbers to the driver, which is 64 MB."""
-    table = np.zeros((ROWS, SIZE), np.float32)
-    for r in context_sums(docs, text_col).toArrow().to_pylist():
-        table[r["segment"] * SEGMENT : (r["segment"] + 1) * SEGMENT] = np.frombuffer(r["vectors"], np.float32).reshape(-1, SIZE)
-    return finished_vectors(table)
-
-
-def finished_vectors(table: np.ndarray) -> np.ndarray:
-    """Rows of length one, centred, scaled and centred again, in PARTS; rows of no word stay zero."""
-    seen = (table != 0).any(axis=1)
-    if seen.any():
-        for _ in range(2):
-            table = unit(table)
-            table[seen] -= table[seen].mean(axis=0)
-    return np.rint(np.clip(table, -1, 1) * PARTS).astype(np.int8)
+    """The ROWS x SIZE word vectors, in PARTS: rows of length one, centred, scaled and centred again; rows of no word stay zero.
+
+    The driver gets the finished table, 16 MB, and two sums of its rows.
+    """
+    segments = stored(context_sums(docs, text_col))
+    centres: list[np.ndarray] = []
+
+    def rows_in(vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
+        x = np.frombuffer(vectors, np.float32).reshape(-1, SIZE).copy()
+        seen = x.any(axis=1)
+        for i, c in enumerate(centres):
+            x[seen] = (unit(x[seen]) if i else x[seen]) - c
+        return x, seen
+
+    def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for v in b.column(0).to_pylist():
+                x, seen = rows_in(v)
+                own = unit(x[seen]).sum(axis=0, dtype=np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([own.tolist()], pa.list_(pa.float64())), pa.array([int(seen.sum())])], ["sum", "n"])
+
+    def finished(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for segment, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x = rows_in(v)[0]
+                yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([np.rint(np.clip(x, -1, 1) * PARTS).astype(np.int8).tobytes()], pa.binary())], ["segment", "rows"])
+
+    for _ in range(2):
+        got = segments.select("vectors").mapInArrow(sums, "sum array<double>, n bigint").toArrow()  # a row a segment
+        n = sum(got["n"].to_pylist())
+        centres.append((np.array(got["sum"].to_pylist()).reshape(-1, SIZE).sum(axis=0) / max(n, 1)).astype(np.float32))
+    table = np.zeros((ROWS, SIZE), np.int8)
+    for r in segments.mapInArrow(finished, "segment int, rows binary").toArrow().to_pylist():
+        table[r["segment"] * SEGMENT : (r["segment"] + 1) * SEGMENT] = np.frombuffer(r["rows"], np.int8).reshape(-1, SIZE)
+    return table
 
 
 def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:

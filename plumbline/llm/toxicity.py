@@ -27,7 +27,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from plumbline.llm.common import LOWER_AZ
 from plumbline.llm.labels import training_rows
@@ -39,6 +40,8 @@ INPUT = 2 * WORD_SIZE + GRAM_SIZE + 1
 HIDDEN, ATTENTION = 8, 12
 #: Labelled rows that the network is fitted on, at most.
 SAMPLE = 4_000
+#: Bytes of a training text at most, so the driver gets at most SAMPLE times as many.
+TEXT = 1 << 16
 #: Distinct words that a task keeps at a time, and windows that it runs at a time.
 MEMO, BATCH = 120_000, 1024
 #: Documents that an embedding's row must be in to be trained.
@@ -424,7 +427,15 @@ def fitted_curve(logit: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[flo
     return float(max(w[0], 0.05)), float(w[1])
 
 
+def stretches(text: Column, most: int = TEXT, parts: int = 64) -> Column:
+    """A text of more bytes than `most` as so many evenly spaced stretches of it, `most` bytes in all."""
+    n = F.octet_length(text).cast("bigint")
+    each = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.substr(text, (1 + i * (n - most // parts) / (parts - 1)).cast("int"), F.lit(most // parts)))
+    return F.when(n <= most, text).otherwise(F.aggregate(each, F.lit(b""), lambda a, x: F.concat(a, F.lit(b" "), x)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, fold: int = 2, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Toxicity:
-    """Fit on at most `most` labelled documents, whose whole texts come to the driver."""
-    got = training_rows(docs, labels, label, folds, fold, most, id_col, text_col).toArrow().sort_by("doc_id")
+    """Fit on at most `most` labelled documents, of each at most TEXT bytes (see stretches()), which come to the driver."""
+    rows = training_rows(docs, labels, label, folds, fold, most, id_col, text_col)
+    got = rows.withColumn("text", stretches(F.col("text"))).toArrow().sort_by("doc_id")
     return Toxicity(fit_network(got["text"].to_pylist(), got["label"].to_numpy()))

@@ -3,6 +3,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from plumbline.llm import quality, queries, toxicity, words
 from plumbline.llm.labels import training_rows
 from plumbline.llm.words import word_hashes
@@ -99,6 +101,31 @@ def test_pooled_by_definition():
         assert np.allclose(got, want, atol=1e-4)
 
 
+def test_word_vectors_by_definition(spark):
+    texts = [("a b c a",), ("one two three",), ("b c one",), (None,)]
+    docs = spark.createDataFrame(texts, "text string").repartition(2)
+    table = quality.word_vectors(docs)
+    total = np.zeros((quality.ROWS, quality.SIZE), np.int32)
+    for (t,) in texts:
+        h = word_hashes((t or "").encode())
+        if len(h):
+            quality.add_contexts(total, h, np.zeros(len(h), np.int64))
+    seen = total.any(axis=1)
+    x = quality.unit(total[seen].astype(np.float32))
+    x = x - x.mean(axis=0)
+    x = quality.unit(x)
+    x = x - x.mean(axis=0)
+    assert np.abs(table[seen] - np.clip(x, -1, 1) * quality.PARTS).max() <= 1 and not table[~seen].any()
+
+
+def test_training_texts_are_bounded(spark):
+    texts = [b"", b"short text", b"w" * 70000, b" ".join(b"word%d" % i for i in range(40000))]
+    df = spark.createDataFrame([(bytearray(t),) for t in texts], "t binary")
+    got = [bytes(r[0]) for r in df.select(toxicity.stretches(F.col("t"))).collect()]
+    assert got[:2] == texts[:2] and all(toxicity.TEXT <= len(g) <= toxicity.TEXT + 64 for g in got[2:])
+    assert got[3].startswith(b" word0 word1") and got[3].endswith(texts[3][-100:])
+
+
 def test_a_labelled_id_with_several_texts_teaches_one_and_the_same(spark):
     docs = spark.createDataFrame([(i % 20, f"text {i}") for i in range(400)], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, toxic int")
