@@ -12,8 +12,9 @@ from pyspark.sql import SparkSession
 from plumbline.operators import audit
 from plumbline.plans import models
 from plumbline.plans.load import load_plugins
-from plumbline.plans.runner import Benchmark, calibrate, run_benchmark, run_job
+from plumbline.plans.runner import Benchmark, calibrate, leave_journal, run_benchmark, run_job
 from plumbline.sources import datasets, journal, sinks
+from plumbline.sources.store import stored
 
 
 def parser() -> argparse.ArgumentParser:
@@ -41,6 +42,7 @@ def parser() -> argparse.ArgumentParser:
         b.add_argument("--standards", help="a standards file to grade against, or to write")
         b.add_argument("-m", "--max-instances", type=int)
         b.add_argument("-o", "--output-dir", default=".")
+        b.add_argument("--journals", help="a folder to leave the run's journal in")
         b.add_argument("--run-uid")
         b.add_argument("--user")
         for o in ("--sut", "--annotator"):
@@ -79,21 +81,23 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(json.dumps(run_job(spark, a.input, a.output, suts, judges, jailbreak=a.jailbreak)))
         return 0
     if a.command == "consistency-check":
-        found = audit.check_journals(journal.read_journals(spark, a.path), a.tolerance).cache()
-        audit.summary(found).show(truncate=False)
+        found = stored(audit.check_journals(journal.read_journals(spark, a.path), a.tolerance))
+        audit.summary(found).orderBy("journal").show(truncate=False)
         if a.verbose:
-            found.where("not passed").show(1000, truncate=False)
+            audit.in_order(found.where("not passed")).show(1000, truncate=False)
         return 0 if found.where("not passed").isEmpty() else 2
     b = Benchmark(locale=a.locale, prompt_set=a.prompt_set, evaluator=a.evaluator, annotators=judges, **({"hazards": a.hazard} if a.hazard else {}))
     rows = datasets.read_csv(spark, a.prompts)
     if a.command == "calibrate":
-        calibrate(rows, b, suts, Path(a.standards or f"{b.uid}.json")).show(100, truncate=False)
+        calibrate(rows, b, suts, Path(a.standards or f"{b.uid}.json"), a.journals).show(100, truncate=False)
         return 0
     run = run_benchmark(rows, b, suts, datasets.read_standards(spark, a.standards) if a.standards else None, a.max_instances)
     shown = run.hazard_scores.cache()
     shown.orderBy("sut", "hazard").show(1000, truncate=False)
     if run.benchmark_scores is not None:
         run.benchmark_scores.show(100, truncate=False)
+    if a.journals:
+        print(leave_journal(run, a.journals, a.run_uid or b.uid))
     sinks.write_record(Path(a.output_dir) / f"benchmark_record-{b.uid}.json", spark, b.uid, shown, a.run_uid, user=a.user)
     return 0
 

@@ -17,7 +17,8 @@ def test_commands(spark, tmp_path, capsys):
     common = [str(prompts), "--hazard", "cse", "--hazard", "vcr", "--sut", "plugged", "--annotator", "demo_y_bad", "-o", str(tmp_path)]
     assert main(["calibrate", *common, "--standards", str(tmp_path / "s.json")], spark) == 0
     (tmp_path / "t.json").write_text((tmp_path / "s.json").read_text().replace("1.0", "0.9", 2).replace("\"2.0.0\"", "\"2.0.0\"").replace(": 1.0", ": 0.9"))
-    assert main(["benchmark", *common, "--standards", str(tmp_path / "t.json")], spark) == 0
+    assert main(["benchmark", *common, "--standards", str(tmp_path / "t.json"), "--journals", str(tmp_path / "j")], spark) == 0
+    assert main(["consistency-check", str(tmp_path / "j")], spark) == 0
     record = json.loads(next(tmp_path.glob("benchmark_record-*.json")).read_text())
     assert {s["hazard"]: s["numeric_grade"] for s in record["scores"]} == {"cse": 5, "vcr": 5}
     j = tmp_path / "journal-run-1.jsonl"
