@@ -14,9 +14,12 @@ of a shard are indexed once and keep their ids, so a vector that occurs very oft
 takes one candidate's place. All queries meet all shards, in blocks of queries.
 
 Vectors that are null, zero, hold null or non-finite components, or have another
-dimension than most take no part; nor do rows without an id. Rows with equal id count
-once, with the smallest vector. No vectors give no rows; fewer than k candidates give
-all of them.
+dimension than most take no part; nor do rows without an id. Rows that share an id are
+rows of their own: each is a candidate for the others, and each different vector of a
+query's id is a query. Of rows with equal id and vector one is the query's own, the rest
+are candidates, and they ask once. No vectors give no rows; fewer than k candidates
+give all of them. Other columns have no effect. On vectors without clusters (as in the
+tables at hand) nearest rows share few pivots, so SHARE has to be large for the recall.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,9 +61,8 @@ class Shard:
     """Inverted files of some vectors."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, length: int, most: float):
-        order = np.lexsort((*x.T[::-1], ids))
-        first = np.flatnonzero(np.diff(ids[order], prepend=ids[order][0] - 1 if len(ids) else 0))
-        ids, x = ids[order][first], x[order][first]  # one row an id
+        order = np.argsort(ids, kind="stable")
+        ids, x = ids[order], x[order]
         self.x, back = np.unique(x, axis=0, return_inverse=True)
         back = back.ravel()
         by = np.argsort(back, kind="stable")
@@ -83,18 +86,21 @@ class Shard:
         return out
 
     def search(self, vec_id: int, q: np.ndarray, near: np.ndarray, k: int, candidates: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the best k, the query's own id left out."""
-        found = np.arange(len(self.x))
-        if candidates < len(found):
-            distance = self.footrule(near) * len(found) + found
-            found = np.argpartition(distance, candidates)[:candidates]
+        """(ids, scores) of the best k, the query's own row left out."""
+        distance = self.footrule(near) * len(self.x) + np.arange(len(self.x))
+        found = np.argpartition(distance, candidates)[:candidates] if candidates < len(distance) else np.argsort(distance)
         score = (self.x[found] * q).sum(axis=1)
         best = np.lexsort((self.ids[self.starts[found]], -score))[: k + 1]
-        parts = [self.ids[self.starts[i] : min(self.starts[i + 1], self.starts[i] + k + 1)] for i in found[best].tolist()]
+        parts = []
+        for i in found[best].tolist():
+            own = self.ids[self.starts[i] : self.starts[i + 1]][: k + 1]  # ascending; of more than these the query's own isn't missed
+            if (self.x[i] == q).all():
+                at = int(np.searchsorted(own, vec_id))
+                if at < len(own) and own[at] == vec_id:
+                    own = np.delete(own, at)
+            parts.append(own[:k])
         ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         scores = np.repeat(score[best], [len(p) for p in parts])
-        other = ids != vec_id
-        ids, scores = ids[other], scores[other]
         order = np.lexsort((ids, -scores))[:k]
         return ids[order], scores[order]
 
@@ -125,7 +131,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PI
     blocks = max(1, -(-asked.count() // block))
     left = own.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
     right = asked.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("b"))
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    schema = pa.schema([("query_id", pa.int64()), ("asked", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
@@ -133,14 +139,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PI
         index = Shard(*_matrix(a), sent.value, length, most)
         ids, q = _matrix(b)
         order = np.lexsort((*q.T[::-1], ids))
-        order = order[np.flatnonzero(np.diff(ids[order], prepend=ids[order][0] - 1))]
         ids, q = ids[order], q[order]
+        fresh = np.concatenate(([True], (ids[1:] != ids[:-1]) | (q[1:] != q[:-1]).any(axis=1)))
+        ids, q = ids[fresh], q[fresh]
         near = nearest_pivots(np.concatenate((q, np.zeros((len(q), 1))), axis=1), sent.value, index.length)
         candidates = max(least, math.ceil(share * len(index.x)))
         found = [index.search(int(i), v, p, k, candidates) for i, v, p in zip(ids, q, near, strict=True)]
         n = [len(f[0]) for f in found]
-        return pa.table([pa.array(np.repeat(ids, n)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], schema=schema)
+        marks = np.array([xxhash.xxh64_intdigest(v.tobytes()) for v in q], np.uint64).view(np.int64)  # tells queries of one id apart
+        return pa.table([pa.array(np.repeat(ids, n)), pa.array(np.repeat(marks, n)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], schema=schema)
 
-    local = left.groupBy("s", "b").cogroup(right.groupBy("s", "b")).applyInArrow(run, "query_id bigint, vec_id bigint, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    local = left.groupBy("s", "b").cogroup(right.groupBy("s", "b")).applyInArrow(run, "query_id bigint, asked bigint, vec_id bigint, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id"))
     return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
