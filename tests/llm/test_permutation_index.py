@@ -33,7 +33,7 @@ def test_footrule_by_definition():
 def test_odd_rows_exactly(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 4)]) for i in range(80)]
-    rows += [(200 + i, [1.0, 2.0, 3.0, 0.0]) for i in range(40)] + [(100, None), (101, [0.0] * 4), (102, [1.0, None, 0.0, 0.0]), (103, [float("nan")] * 4), (104, [float("inf"), 0.0, 0.0, 0.0]), (105, [1.0]), (None, [1.0] * 4), (200, [1.0, 2.0, 3.0, 0.0]), (106, []), (7, [9.0, 9.0, 9.0, 9.0]), (20, [2.0, 9.0, 0.0, 1.0]), (20, [2.0, 9.0, 0.0, 1.0]), (1, [1.0, 0.0, 0.0, 0.0]), (1, [9.0, 0.0, 0.0, 0.0])]
+    rows += [(200 + i, [1.0, 2.0, 3.0, 0.0]) for i in range(40)] + [(100, None), (101, [0.0] * 4), (102, [1.0, None, 0.0, 0.0]), (103, [float("nan")] * 4), (104, [float("inf"), 0.0, 0.0, 0.0]), (105, [1.0]), (None, [1.0] * 4), (200, [1.0, 2.0, 3.0, 0.0]), (106, []), (7, [9.0, 9.0, 9.0, 9.0]), (20, [2.0, 9.0, 0.0, 1.0]), (20, [2.0, 9.0, 0.0, 1.0]), (3, [1.0, 0.0, 0.0, 0.0]), (3, [9.0, 0.0, 0.0, 0.0])]
     df = spark.createDataFrame([(*r, 0, "x") for r in rows], "vec_id bigint, embedding array<float>, s int, rank string")
     queries = df.where("vec_id % 20 = 0")
     kept = [r for r in rows if r[1] is None or len(r[1]) == 4]
