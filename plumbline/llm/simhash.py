@@ -4,19 +4,21 @@ A document's fingerprint has 64 bits: words of the A-Z-lowered text, shingles of
 `width` words (repeats count), XXH64 with seed 42; a bit is 1 if it is set in over
 half the hashes. No words: fingerprint zero.
 
-Two fingerprints link if they differ in at most `radius` bits. The 64 bits are
-radius + 1 segments on a ring. If the distance is within the radius then, by the
-pigeonring principle, the ring has a start from which every chain of l
-consecutive segments differs in at most l * radius / (radius + 1) bits. The first
-step of such a chain is an equal segment, which is the join key; the longer chains
-prune a candidate before the full Hamming check.
-
-Equal fingerprints become one node first, so exact copies never form pairs. In a
-segment bucket of more than `crowded` nodes no pairs are formed either: there
-every node names itself and its one-bit neighbours outside the shared segment,
-and all that name the same value hang on the smallest of them. Two values within
-two bits always share such a value and two that share one are within two bits, so
-this finds the same classes with a number of rows linear in the bucket.
+Two fingerprints link if they differ in at most `radius` bits. The 64 bits are a ring
+of FINE * radius segments. If the distance is within the radius then, by the
+pigeonring principle, the ring has a start from which every chain of l consecutive
+segments differs in at most l * radius / segments bits, rounded down. The chains whose
+budget is zero are equal bits, which are the join key (28 bits for a radius of two, so
+that a bucket holds some tens of 10 ** 10 evenly spread fingerprints); the longer
+chains prune a candidate before the full Hamming check.
+
+Equal fingerprints become one node first, so exact copies never form pairs. Clumps of
+near copies may crowd a bucket nevertheless. Pairs would be more rows there than the
+one-bit neighbours of its nodes outside the equal bits, so for a radius of two every
+node names itself and those, and all that name the same value hang on the smallest of
+them. Two values within two bits that differ outside the equal bits always share such a
+value, and two that share one are within two bits, so this finds the same classes with
+a number of rows linear in the bucket. A value has 65 names at most.
 
 Null texts are empty texts. Rows with equal doc_id each get a row. A null doc_id
 takes part, but is never a component's name unless the class has no other id.
@@ -36,8 +38,10 @@ from plumbline.llm.common import LOWER_AZ, as_bytes, chunks, cut, stored
 from plumbline.llm.components import connected_components
 
 SEED = 42
-#: Nodes of a bucket from which on it names values: a node has 43 or 44 of them, and as many pairs in a bucket of 88.
-CROWDED = 88
+#: Segments of the ring for each bit of the radius, and the largest radius.
+FINE, WIDEST = 8, 8
+#: Nodes of a bucket from which on it names values: a node has 37 of them, and as many pairs in a bucket of 74.
+CROWDED = 74
 #: Hashes whose bits are counted at a time.
 BLOCK = 1 << 16
 
@@ -78,50 +82,48 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def segments(radius: int) -> list[tuple[int, int]]:
-    """(shift, bits) of the radius + 1 segments of 64 bits."""
-    m = radius + 1
+    """(shift, bits) of the ring's segments."""
+    m = FINE * radius
     cuts = [64 * i // m for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def _mask(shift: int, bits: int) -> int:
-    value = ((1 << bits) - 1) << shift
+def chain_mask(ring: list[tuple[int, int]], start: int, length: int) -> int:
+    """The bits of a chain of segments, as an unsigned number."""
+    return sum(((1 << bits) - 1) << shift for shift, bits in (ring[(start + j) % len(ring)] for j in range(length)))
+
+
+def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
 def links(nodes: DataFrame, radius: int = 2, crowded: int = CROWDED) -> DataFrame:
     """Links (a, b) between different fingerprints; their components are those of all pairs within the radius.
 
-    In crowded buckets the links are a spanning subset (see the module); elsewhere
-    they are all pairs. The crowded rule holds for a radius of two, the only one offered.
+    In crowded buckets, for a radius of two, the links are a spanning subset (see the
+    module); elsewhere they are all pairs.
     """
-    if radius != 2:
-        raise ValueError("the radius must be 2")
+    if not 1 <= radius <= WIDEST:
+        raise ValueError(f"the radius must be from 1 to {WIDEST}")
     ring = segments(radius)
-    masks = [_mask(*s) for s in ring]
-    keys = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])).alias("s")).select("fp", "s.i", "s.k")
+    starts = range(len(ring))
+    equal = (len(ring) - 1) // radius  # the longest chain with a budget of zero
+    masks = [chain_mask(ring, i, equal) for i in starts]
+    keys = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks)])).alias("s")).select("fp", "s.i", "s.k")
     sizes = keys.groupBy("i", "k").agg(F.count("*").alias("n")).where("n > 1")
     sized = cut(keys.join(sizes, ["i", "k"]))
-    few = sized.where(F.col("n") <= crowded)
+    few = sized.where(F.col("n") <= crowded) if radius == 2 else sized
     a, b = few.alias("a"), few.alias("b")
     diff = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    chain = F.lit(False)
-    for i in range(len(ring)):
-        ok = F.col("a.i") == i
-        for length in range(2, len(ring) + 1):
-            mask = 0
-            for j in range(length):
-                mask |= masks[(i + j) % len(ring)]
-            ok &= F.bit_count(diff.bitwiseAND(F.lit(mask))) <= length * radius // len(ring)
-        chain |= ok
-    pairs = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.fp") < F.col("b.fp")) & chain & (F.bit_count(diff) <= radius)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    longer = F.element_at(F.array(*[F.array(*[F.lit(_signed(chain_mask(ring, i, n))) for n in range(equal + 1, len(ring) + 1)]) for i in starts]), F.col("a.i") + 1)
+    budgets = F.array(*[F.lit(n * radius // len(ring)) for n in range(equal + 1, len(ring) + 1)])
+    chains = F.forall(F.zip_with(longer, budgets, lambda mask, most: F.bit_count(diff.bitwiseAND(mask)) <= most), lambda ok: ok)
+    pairs = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.fp") < F.col("b.fp")) & chains & (F.bit_count(diff) <= radius)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    if radius != 2:
+        return pairs.distinct()
     many = sized.where(F.col("n") > crowded).repartition("fp")
-    at, last = F.lit(None), F.lit(None)
-    for i, (shift, bits) in enumerate(ring):
-        at = F.when(F.col("i") == i, F.when(F.col("p") < shift, F.col("p")).otherwise(F.col("p") + bits)).otherwise(at)
-        last = F.when(F.col("i") == i, 63 - bits).otherwise(last)
-    named = many.select("fp", "i", F.explode(F.sequence(F.lit(-1), last)).alias("p")).withColumn("bit", at)
-    named = named.select("fp", "i", F.when(F.col("p") < 0, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(F.expr("shiftleft(1L, bit)"))).alias("z"))
+    free = F.array(*[F.array(*[F.lit(_signed(1 << p)) for p in range(64) if not m >> p & 1]) for m in masks])
+    named = many.select("fp", "i", F.explode(F.concat(F.array("fp"), F.transform(F.element_at(free, F.col("i") + 1), lambda bit: F.col("fp").bitwiseXOR(bit)))).alias("z"))
     centre = named.groupBy("i", "z").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("i", "z", "b")
     stars = named.join(centre, ["i", "z"]).where("fp <> b")
     return pairs.unionByName(stars.select(F.col("fp").alias("a"), "b")).distinct()

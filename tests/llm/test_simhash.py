@@ -2,7 +2,7 @@ import random
 
 import xxhash
 
-from plumbline.llm.simhash import near_duplicates
+from plumbline.llm.simhash import chain_mask, near_duplicates, segments
 
 SF = "/root/testdata/sf0.01"
 
@@ -64,6 +64,25 @@ def test_against_all_pairs_with_odd_rows(spark):
     assert got(df, crowded=10**9) == want
 
 
+def test_other_radii(spark):
+    texts = near_copies(80, 5) + [f"text {i % 40} of some words {i}" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for radius in (1, 3, 5):
+        assert got(df, radius=radius) == slow_classes(list(enumerate(texts)), radius)
+
+
+def test_the_ring_misses_no_pair_within_the_radius():
+    rng = random.Random(0)
+    for radius in (1, 2, 3, 8):
+        ring = segments(radius)
+        equal = (len(ring) - 1) // radius
+        for _ in range(300):
+            diff = 0
+            for p in rng.sample(range(64), rng.randint(0, radius)):
+                diff |= 1 << p
+            assert any(all((diff & chain_mask(ring, i, n)).bit_count() <= n * radius // len(ring) for n in range(equal, len(ring) + 1)) for i in range(len(ring)))
+
+
 def test_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string, fp string, component_id string, fingerprint int")
     assert near_duplicates(df).collect() == []
