@@ -4,7 +4,13 @@ write_archives writes each partition's rows as one archive that is a single gzip
 stream. The normaliser inflates such a stream once, from front to back, rewrites
 every record as a gzip member of its own, and writes a sidecar index of JSON lines
 with each member's offset and length. read_archives reads records through the
-index. Everything streams: no task holds more than one record's block in memory.
+index. Everything streams: a writing task holds a slice of rows of some 16 MB (one row,
+if it is larger) and the Arrow batch around it, a normalising or reading task one record.
+
+Payloads are not shuffled: which digests repeat is found from digests alone, and that
+list is broadcast while it is short. Beyond FEW digests only those of at least a HOT
+share of all rows are; the other rows meet the rest of the list by a shuffled join,
+which then has no hot key.
 
 Archives live in the shared folder. A task writes under a name of its attempt and
 then renames it to the partition's name, so a repeated attempt replaces the file.
@@ -154,8 +160,13 @@ def member(source, offset: int, length: int) -> tuple[dict[str, str], bytes]:
     return fields, payload
 
 
+#: Hadoop's names of stores that Arrow knows by others.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
+
+
 def _fs(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(uri)
+    scheme, mark, rest = uri.partition("://")
+    return pyarrow.fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}{mark}{rest}")
 
 
 def _out(fs, path: str):
@@ -171,13 +182,26 @@ def _settle(fs, made: str, final: str) -> None:
         fs.move(made, final)
 
 
-def with_revisits(pages: DataFrame, least: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+#: Repeated digests up to which they are broadcast (some 100 bytes each), and the share of repeats from which one is beyond that.
+FEW, HOT = 200_000, 1 / 1024
+
+
+def with_revisits(pages: DataFrame, least: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", few: int = FEW) -> DataFrame:
     """page_id, url, payload (null for revisits), digest, size, refers_to of each row."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.select("*", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("bigint").alias("size"))
-    same = rows.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    own = F.col("size") >= least
+    found = rows.where(own).groupBy("digest", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    same = cut(found.select(F.col("digest").alias("d"), F.col("size").alias("s"), "first", "n"))
+    meets = (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s"))
+    if same.count() <= few:
+        joined = rows.join(F.broadcast(same), meets, "left")
+    else:
+        hot = F.col("n") >= same.agg(F.sum("n")).first()[0] * HOT
+        first = rows.join(F.broadcast(same.where(hot)), meets, "left")  # at most 1 / HOT rows
+        rest = first.where(own & F.col("d").isNull()).drop("d", "s", "first", "n").join(same.where(~hot), meets, "left")
+        joined = first.where(~own | F.col("d").isNotNull()).unionByName(rest)
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    joined = rows.join(same, ["digest", "size"], "left")
     return joined.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "size", F.when(revisit, F.col("first")).alias("refers_to"))
 
 

@@ -6,7 +6,7 @@ import zlib
 
 import pytest
 
-from plumbline.llm.warc import archive_pages, header, member, normalise, records
+from plumbline.llm.warc import _fs, archive_pages, header, member, normalise, records, with_revisits
 
 BIG = "<p>" + "x" * 2000
 
@@ -63,6 +63,20 @@ def test_rows(spark):
     assert archive_pages(df.limit(0)).collect() == []
 
 
+def test_a_long_list_of_repeats_and_a_hot_one(spark):
+    rows = [(i, "u", ("hot" if i % 2 else f"page {i // 3}") + "x" * (1500 if i % 7 else 10)) for i in range(600)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)
+    expected = sorted(str((p, r)) for p, _, _, _, r in want(rows))
+    for few in (0, 10**6):
+        found = with_revisits(df, few=few).collect()
+        assert sorted(str((r.page_id, r.refers_to)) for r in found) == expected
+        assert all((r.payload is None) == (r.refers_to is not None) for r in found)
+
+
+def test_names_of_stores():
+    assert _fs("file:///tmp/x")[1] == "/tmp/x" and _fs("/tmp/y")[1] == "/tmp/y"
+
+
 def test_whole_small_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in archive_pages(pages).collect()), key=str)
