@@ -7,7 +7,9 @@ join finds for each capture the entries that were active when it was fetched.
 A capture's host is looked up with all its parent domains. The join is over distinct
 (host, fetch time) pairs, so a host with a third of all captures is a few rows, and
 by (key, time bucket), so that a key with many changes meets only captures of the
-same time; a pair meets at most one interval of each key.
+same time; a pair meets at most one interval of each key. Only keys that the list
+holds go into the join. A key that a HOT share of the pairs ask for (a listed "com") is
+dealt to SALTS parts, with a copy of its intervals in each.
 
 Captures without a host or a fetch time are never blocked. Repeated captures each
 get a row. At equal times of a key "add" wins; repeated changes count once; changes
@@ -21,8 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import cut
+
 #: Seconds of a time bucket: 32 days.
 BUCKET = 32 * 86_400
+#: Listed keys that are asked for up to which they are broadcast; the share of what is asked from which a key is dealt out, and to how many parts.
+FEW, HOT, SALTS = 200_000, 1 / 1024, 64
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)"
 
 
@@ -42,7 +48,7 @@ def intervals(changes: DataFrame) -> DataFrame:
     return turns.withColumn("until", F.lead("at").over(by_time)).where("on").select("key", F.col("at").alias("since"), "until")
 
 
-def active_entries(pairs: DataFrame, valid: DataFrame) -> DataFrame:
+def active_entries(pairs: DataFrame, valid: DataFrame, few: int = FEW) -> DataFrame:
     """(host, fetched, entry, since, n_entries) for the distinct pairs with an active entry; entry is the longest key."""
     last = pairs.agg(F.max("fetched")).first()[0]
     if last is None:
@@ -54,7 +60,14 @@ def active_entries(pairs: DataFrame, valid: DataFrame) -> DataFrame:
     n = F.size(labels)
     keys = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
     asked = pairs.select("host", "fetched", bucket("fetched").alias("bucket"), F.explode(keys).alias("key"))
-    met = asked.join(spans, ["key", "bucket"]).where("fetched >= since and (until is null or fetched < until)")
+    held = cut(asked.select("key").distinct().join(spans.select("key").distinct(), "key", "left_semi"))
+    asked = asked.join(F.broadcast(held) if held.count() <= few else held, "key", "left_semi")
+    often = cut(asked.groupBy("key").agg(F.count("*").alias("n")))
+    hot = often.where(F.col("n") >= (often.agg(F.sum("n")).first()[0] or 0) * HOT).select(F.col("key").alias("hot"))  # 1 / HOT rows at most
+    salted = lambda df, salt: df.join(F.broadcast(hot), F.col("key") == F.col("hot"), "left").withColumn("salt", salt).drop("hot")
+    asked = salted(asked, F.when(F.col("hot").isNull(), 0).otherwise(F.pmod(F.xxhash64("host", "fetched"), F.lit(SALTS)).cast("int")))
+    spans = salted(spans, F.explode(F.when(F.col("hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    met = asked.join(spans, ["key", "bucket", "salt"]).where("fetched >= since and (until is null or fetched < until)")
     return met.groupBy("host", "fetched").agg(F.max_by(F.struct(F.col("key").alias("entry"), "since"), F.length("key")).alias("m"), F.count("*").alias("n_entries")).select("host", "fetched", "m.entry", "m.since", "n_entries")
 
 

@@ -1,5 +1,6 @@
 import datetime as dt
 
+from plumbline.llm import url_filter
 from plumbline.llm.url_filter import filter_captures, intervals
 
 T = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
@@ -44,3 +45,18 @@ def test_empty_tables(spark):
     assert filter_captures(pages.limit(0), changes).collect() == []
     assert [r.blocked for r in filter_captures(pages, changes.limit(0)).collect()] == [False]
     assert [r.blocked for r in filter_captures(pages.selectExpr("page_id", "url", "cast(null as timestamp) fetched"), changes).collect()] == [False]
+
+
+def test_one_key_for_most_captures(spark):
+    changes = [("com", T(10), "add"), ("com", T(90), "remove"), ("com", T(120), "add"), ("h3.com", T(40), "add"), ("h3.com", T(50), "remove"), ("org", T(500), "add")]
+    rows = [(i, f"http://{'www' if i % 2 else f'h{i % 9}'}.{'com' if i % 5 else 'net'}/", T(i % 200)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, fetched timestamp").repartition(3)
+    listed = spark.createDataFrame(changes, "key string, at timestamp, action string")
+    pairs = df.select(url_filter.host_of(df.url).alias("host"), "fetched").distinct()
+    found = [{(r.host, r.fetched, r.entry, r.since, r.n_entries) for r in url_filter.active_entries(pairs, intervals(listed), few).collect()} for few in (0, 10**6)]
+    assert found[0] == found[1]
+    for r in filter_captures(df, listed).collect():
+        day = (r.fetched - T(0)).days
+        com = r.host.endswith(".com") and (10 <= day < 90 or day >= 120)
+        h3 = r.host == "h3.com" and 40 <= day < 50
+        assert (r.blocked, r.n_entries, r.entry) == (com or h3, com + h3, "h3.com" if h3 else "com" if com else None)
