@@ -11,7 +11,7 @@ from plumbline.functions import scores, text, uids
 from plumbline.operators import audit, fanout, hazards, measure, sampling, voting
 from plumbline.operators.dag import Arbiter, Composer, Cost, Enricher, Router
 from plumbline.plans import views
-from plumbline.plans.views import HAZARDS, table, with_views
+from plumbline.plans.views import table, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,11 +29,18 @@ def query(sql: str | None = None, *need: str):
     return add
 
 
+def _more() -> None:
+    """The queries over files and whole runs register themselves with the first one who asks."""
+    import plumbline.plans.file_queries  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _more()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _more()
     return dict(SQL)
 
 
@@ -224,14 +231,6 @@ def cache_hits_misses(spark, sf_dir):
     return hits.select("o_orderkey", F.lit("hit").alias("outcome"), "response_text").unionByName(misses.select("o_orderkey", F.lit("miss").alias("outcome"), F.lit(None).cast("string").alias("response_text")))
 
 
-@query("SELECT hazard, round(min(score), 6) AS reference FROM (SELECT hazard, number % 3 AS sut, sum(value) / count(value) AS score FROM measured GROUP BY 1, 2 HAVING count(value) > 0) GROUP BY hazard HAVING count(*) = 1", *SCORED)
-def calibrate_min(spark, sf_dir):
-    own = _measured(spark, sf_dir).withColumn("sut", (F.col("number") % 3).cast("string"))
-    out = hazards.hazard_scores(hazards.persona_stats(own, ["hazard", "sut"]), ["hazard", "sut"])
-    one = out.groupBy("hazard").agg(F.min("score").alias("score")).withColumn("sut", F.lit("least"))
-    return hazards.calibrated(one, ["least"]).select("hazard", r6("reference").alias("reference"))
-
-
 @query("SELECT m.hazard, m.prompt_id, CAST(value AS INTEGER) = 1 AS is_safe FROM measured m WHERE shareable AND value IS NOT NULL", *SCORED)
 def shareable_export(spark, sf_dir):
     from plumbline.sources.sinks import shareable
@@ -252,24 +251,24 @@ def one_to_one_check(spark, sf_dir):
 
 @query("SELECT prompt_id, count(*) AS times FROM journal WHERE message = 'translated sut response' GROUP BY prompt_id HAVING count(*) > 1", "journal")
 def duplicates(spark, sf_dir):
-    return views.journal(spark, sf_dir).where("message = 'translated sut response'").groupBy("prompt_id").agg(F.count("*").alias("times")).where("times > 1")
+    return audit.repeated(views.journal(spark, sf_dir).where("message = 'translated sut response'"))
 
 
 def _sides(spark, sf_dir):
     own = views.journal(spark, sf_dir)
-    return [own.where(F.col("message") == m).select("prompt_id").distinct() for m in ("queuing item", "translated sut response")]
+    return [own.where(F.col("message") == m).select("prompt_id") for m in ("queuing item", "translated sut response")]
 
 
 @query("SELECT DISTINCT prompt_id FROM journal WHERE message = 'queuing item' AND prompt_id NOT IN (SELECT prompt_id FROM journal WHERE message = 'translated sut response')", "journal")
 def missing_prompts(spark, sf_dir):
     queued, found = _sides(spark, sf_dir)
-    return queued.join(found, "prompt_id", "left_anti")
+    return audit.only_in(queued, found)
 
 
 @query("SELECT DISTINCT prompt_id FROM journal WHERE message = 'translated sut response' AND prompt_id NOT IN (SELECT prompt_id FROM journal WHERE message = 'queuing item')", "journal")
 def unknown_prompts(spark, sf_dir):
     queued, found = _sides(spark, sf_dir)
-    return found.join(queued, "prompt_id", "left_anti")
+    return audit.only_in(found, queued)
 
 
 @query("SELECT hazard, count(*) FILTER (NOT is_valid) AS invalid, count(*) AS total, count(*) FILTER (NOT is_valid) / count(*) < 0.03 AS passed FROM annotations JOIN items USING (prompt_id) GROUP BY hazard", "items", "annotations")
@@ -478,7 +477,3 @@ def stream_journal_counts(spark, sf_dir):
     from plumbline.streaming.journal import counts_of_stream
 
     return counts_of_stream(spark, f"{sf_dir}/events.parquet")
-
-
-def hazard_list(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(h, uids.reference_key(h)) for h in HAZARDS], "hazard string, reference_key string")
