@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import json
 import sys
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from plumbline.functions.uids import safe_test_uid
 from plumbline.operators import audit
 from plumbline.plans import models
+from plumbline.plans.definitions import question_test, run_test
 from plumbline.plans.load import load_plugins
-from plumbline.plans.runner import Benchmark, calibrate, leave_journal, run_benchmark, run_job
+from plumbline.plans.runner import Benchmark, calibrate, leave_journal, run_benchmark, run_job, run_security
+from plumbline.plans.views import HAZARDS
 from plumbline.sources import datasets, journal, sinks
 from plumbline.sources.store import stored
 
@@ -21,7 +25,21 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="plumbline")
     p.add_argument("--plugins", help="a folder whose modules register models and annotators")
     sub = p.add_subparsers(dest="command", required=True)
-    sub.add_parser("list", help="registered models and annotators")
+    some = sub.add_parser("list", help="registered models, annotators, drivers, tests, and the names of secrets")
+    some.add_argument("what", nargs="?", choices=["all", "models", "annotators", "drivers", "tests", "secrets"], default="all")
+    some.add_argument("--secrets", default=".", help="the folder from which a secrets file is looked for upwards")
+    test = sub.add_parser("run-test", help="a file of questions on one model")
+    test.add_argument("questions")
+    test.add_argument("--sut", required=True)
+    test.add_argument("--uid", default="questions")
+    safe = sub.add_parser("benchmark-security", help="run security prompt sets")
+    safe.add_argument("--jailbreak", help="a CSV of jailbreaks")
+    safe.add_argument("--naive", help="a CSV of naive prompts")
+    safe.add_argument("--locale", default="en_us")
+    safe.add_argument("-m", "--max-instances", type=int)
+    safe.add_argument("-o", "--output-dir", default=".")
+    for o in ("--sut", "--annotator"):
+        safe.add_argument(o, action="append", default=[])
     one = sub.add_parser("run-sut", help="ask one model one prompt")
     one.add_argument("sut")
     one.add_argument("prompt")
@@ -62,12 +80,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.plugins:
         load_plugins(a.plugins)
     if a.command == "list":
-        for r in (models.MODELS, models.ANNOTATORS):
-            for uid in r.list():
-                print(f"{r.what}: {uid}")
+        found = {"models": models.MODELS.list(), "annotators": models.ANNOTATORS.list(), "drivers": sorted(models.DRIVERS.makers), "tests": [safe_test_uid(h, "en_us", "practice") for h in HAZARDS]}
+        if a.what in ("all", "secrets"):
+            with contextlib.suppress(FileNotFoundError):
+                found["secrets"] = [f"{scope}.{key}" for scope, keys in datasets.load_secrets(a.secrets).items() for key in keys]  # names only
+        for what, names in found.items():
+            if a.what in ("all", what):
+                for uid in names:
+                    print(f"{what[:-1]}: {uid}")
         return 0
     spark = spark or SparkSession.builder.appName("plumbline").getOrCreate()
-    suts = [models.MODELS.make(u) for u in getattr(a, "sut", [])] if a.command != "run-sut" else [models.MODELS.make(a.sut)]
+    suts = [models.DRIVERS.make(u, models.MODELS) for u in ([a.sut] if a.command in ("run-sut", "run-test") else getattr(a, "sut", []))]
     judges = [models.ANNOTATORS.make(u) for u in ([a.annotator] if a.command == "run-annotator" else getattr(a, "annotator", []))]
     if a.command == "run-sut":
         row = models.responses(spark.createDataFrame([(a.prompt,)], "prompt_text string"), suts[0]).first()
@@ -77,6 +100,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         row = models.annotate(spark.createDataFrame([(a.prompt, a.response)], "evaluated_prompt_text string, response_text string"), judges).first()
         print(json.dumps({"is_safe": row.is_safe, "is_valid": row.is_valid}))
         return 0
+    if a.command == "run-test":
+        print(run_test(question_test(a.uid, datasets.read_questions(spark, a.questions)), suts[0]).to_json())
+        return 0
+    if a.command == "benchmark-security":
+        rows = {k: datasets.read_csv(spark, getattr(a, k)) for k in ("jailbreak", "naive") if getattr(a, k)}
+        run = run_security(rows, a.locale, suts, judges, a.max_instances)
+        scores = stored(run.hazard_scores)
+        scores.orderBy("sut", "persona").show(1000, truncate=False)
+        run.benchmark_scores.orderBy("sut").show(1000, truncate=False)
+        sinks.write_record(Path(a.output_dir) / "benchmark_record-security.json", spark, "security", scores)
+        return 0
     if a.command == "run-job":
         print(json.dumps(run_job(spark, a.input, a.output, suts, judges, jailbreak=a.jailbreak)))
         return 0

@@ -93,6 +93,14 @@ class GraphError(ValueError):
     pass
 
 
+def metadata_of(df: DataFrame, json_column: str | None = None, columns: list[str] | None = None, but: tuple[str, ...] = ("prompt", "response")) -> Column:
+    """A map of a row's metadata: of a column of JSON objects (nothing for text that is none), of the named columns, or of all others."""
+    if json_column is not None:
+        return F.coalesce(F.from_json(json_column, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    names = [c for c in df.columns if c not in but] if columns is None else columns
+    return F.create_map(*[x for c in names for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]).cast("map<string,string>")
+
+
 class Composer:
     def __init__(self, name: str, nodes: list[Node], verdicts: list[str]):
         self.name, self.nodes, self.verdicts = name, {n.name: n for n in nodes}, list(verdicts)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import importlib.metadata
 import json
 import platform
+import subprocess
+import sys
 from pathlib import Path
 
 import pandas as pd
@@ -14,13 +17,14 @@ from pyspark.sql import types as T
 from plumbline.sources.datasets import ANNOTATIONS, RESPONSES, with_seed
 
 
-def write_csv(df: DataFrame, path: str, header: list[str], single: bool = True) -> None:
+def write_csv(df: DataFrame, path: str, header: list[str], single: bool = True, append: bool = False) -> None:
     """All fields quoted, columns in the header's order; an existing path or a missing column is an error.
 
     single=False writes a file a partition, for tables that no one task should write.
+    append adds files, each with its header, to what is there.
     """
     own = df.select(*header)
-    (own.coalesce(1) if single else own).write.mode("errorifexists").csv(path, header=True, quoteAll=True, escape='"', emptyValue="")
+    (own.coalesce(1) if single else own).write.mode("append" if append else "errorifexists").csv(path, header=True, quoteAll=True, escape='"', emptyValue="")
 
 
 def response_rows(df: DataFrame, jailbreak: bool = False, logprobs: bool = False) -> DataFrame:
@@ -60,8 +64,19 @@ def export_annotations(items: DataFrame, path: str, job_id: str) -> None:
     own.write.mode("errorifexists").json(path)
 
 
+def _said(*command: str) -> str | None:
+    """What a command prints, if it is there and ends well."""
+    try:
+        return subprocess.run(command, capture_output=True, text=True, timeout=10, check=True).stdout.strip()
+    except (OSError, subprocess.SubprocessError):
+        return None
+
+
 def provenance(spark) -> dict:
-    return {"spark": spark.version, "python": platform.python_version(), "platform": platform.platform()}
+    """Versions, packages, and the state of the sources that a run was made with."""
+    packages = {d.metadata["Name"]: d.version for d in importlib.metadata.distributions()}
+    git = {"commit": _said("git", "rev-parse", "HEAD"), "origin": _said("git", "remote", "get-url", "origin"), "changes": _said("git", "status", "--porcelain")}
+    return {"spark": spark.version, "python": platform.python_version(), "platform": platform.platform(), "node": platform.node(), "command": " ".join(sys.argv), "packages": dict(sorted(packages.items())), "source": git}
 
 
 def write_record(path: Path, spark, benchmark: str, scores: DataFrame, run_uid: str | None = None, start: str = "", user: str | None = None) -> None:
