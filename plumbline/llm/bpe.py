@@ -5,23 +5,24 @@ acyclic automaton whose states share suffixes. Every edge carries how many words
 sort before it below its state, so that a walk that ends in a final state has
 summed up the word's rank, and the rank's ids are the output. The automaton is one
 file of plain arrays that each worker maps into memory. A piece that it doesn't hold
-is merged exactly, by the vocabulary's merge ranks.
+is merged exactly, by the vocabulary's merge ranks. In front of it a worker keeps the ids
+of words and pieces met lately, KEPT of each at most.
 
 Null texts are empty texts, which have no ids and decode to the empty string.
-Rows with equal doc_id each get a row; an empty table gives no rows. The lexicon's
+Rows with equal doc_id each get a row; an empty table gives no rows. Very long texts are
+encoded whole, one at a time. Other columns have no effect, whatever their names. The lexicon's
 size (LEXICON) bounds only the automaton: it changes speed, never ids.
 """
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import heapq
 import json
 import mmap
-import os
 import re
 import struct
-import tempfile
 import unicodedata
 import uuid
 from array import array
@@ -31,10 +32,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import as_bytes, chunks, stored
+from plumbline.llm.common import as_bytes, chunks, removed, shared_dir, stored
 
 #: Words that are compiled, at most.
 LEXICON = 65_536
@@ -307,14 +308,24 @@ def frequent_pieces(docs: DataFrame, size: int, text_col: str = "text", vocabula
     return sorted(bytes(r.piece) for r in counted.where(F.col("class") >= least).select("piece").collect())
 
 
+def sent_file(spark: SparkSession, data: bytes) -> str:
+    """Leave data as a file in the shared folder, from which every executor gets a copy; returns its name. It goes when the program ends."""
+    name = f"lexicon-{uuid.uuid4().hex}.bin"
+    path = f"{shared_dir(spark).rstrip('/')}/lexicons/{name}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    out.write(data)
+    out.close()
+    atexit.register(removed, spark, path)
+    spark.sparkContext.addFile(path)
+    return name
+
+
 def encode_documents(docs: DataFrame, size: int = LEXICON, id_col: str = "doc_id", text_col: str = "text", vocabulary=public_vocabulary, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs, and with_ids also ids (uint32 bytes) and decoded."""
     v = vocabulary()
     data = compile_lexicon(frequent_pieces(docs, size, text_col, vocabulary), v.merge)
-    name = f"lexicon-{uuid.uuid4().hex}.bin"
-    with open(os.path.join(tempfile.mkdtemp(), name), "wb") as f:
-        f.write(data)
-    docs.sparkSession.sparkContext.addFile(f.name)
+    name = sent_file(docs.sparkSession, data)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
