@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.store import cut, removed, shared_dir, stored  # noqa: F401
+
 #: Words are runs of bytes other than these six, which is what bytes.split() does.
 WHITE = b" \t\n\x0b\x0c\r"
 #: UTF-8 continuation bytes; the other bytes of a text count its code points.
@@ -22,51 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the session's spark.checkpoint.dir. Only where that is unset and the
-    master is a single process (tests, local runs) a temporary folder is set.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="plumbline-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back.
-
-    Like cut(), but columnar and compressed: for tables of one row a document.
-    The folder is removed when the program ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has ended before the program: nothing can be removed through it
-        pass
-
-
 #: Bytes of input that a bucket of counts stands for, and how many buckets there are at least and at most.
 BUCKET, FEWEST, MOST = 4 << 20, 64, 1 << 20
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut
+from plumbline.llm.common import cut, stored
 
 #: Seconds of a time bucket: 32 days.
 BUCKET = 32 * 86_400
@@ -77,8 +77,8 @@ def filter_captures(captures: DataFrame, changes: DataFrame, id_col: str = "page
     captures has an id, a URL and a fetch time; changes has key, at and action.
     """
     own = captures.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), F.col(time_col).cast("timestamp").alias("fetched"))
-    pairs = own.where("host is not null and fetched is not null").select("host", "fetched").distinct()
-    found = active_entries(pairs, intervals(changes))
+    pairs = stored(own.where("host is not null and fetched is not null").select("host", "fetched").distinct())
+    found = active_entries(pairs, stored(intervals(changes)))
     joined = own.join(found, ["host", "fetched"], "left")
     return joined.select("page_id", "host", "fetched", F.col("entry").isNotNull().alias("blocked"), "entry", "since", F.coalesce("n_entries", F.lit(0)).cast("bigint").alias("n_entries"))
 

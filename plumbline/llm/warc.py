@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import _remove, chunks, cut, shared_dir
+from plumbline.llm.common import chunks, cut, removed, shared_dir
 
 GZIP = 31  # zlib's window bits for a gzip wrapper
 BLOCK = 1 << 16
@@ -293,7 +293,7 @@ def archive_pages(pages: DataFrame, least: int = 1000, folder: str | None = None
     spark = pages.sparkSession
     if folder is None:
         folder = f"{shared_dir(spark).rstrip('/')}/warc/{uuid.uuid4().hex}"
-        atexit.register(_remove, spark, folder)
+        atexit.register(removed, spark, folder)
     names = cut(write_archives(with_revisits(pages, least, id_col, url_col, html_col), folder))
     done = cut(normalise_archives(names, folder))
     return read_archives(done, folder, with_payload)
