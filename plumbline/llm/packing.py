@@ -14,7 +14,8 @@ piece's rank among those of its length is its rank in its partition plus the cou
 in earlier partitions. No task sees more than its own pieces.
 
 Null texts are empty texts: one piece that holds the end token only. Rows with
-equal doc_id are packed as documents of their own. An empty table packs nothing.
+equal doc_id are packed as documents of their own. An empty table packs nothing. Very
+long texts are tokenised whole, one at a time. Other columns have no effect.
 """
 
 from __future__ import annotations
@@ -74,19 +75,28 @@ def public_byte_bpe() -> ByteBpe:
 
 @dataclass(frozen=True)
 class Limits:
-    """Capacities of a sequence. documents and cost at their defaults never bind below `tokens`."""
+    """Capacities of a sequence. documents and cost at their defaults never bind below `tokens`; longest, if given, is the longest piece."""
 
     tokens: int = 1024
     documents: int = 1024
     cost: int = 1024 * 1024
+    longest: int | None = None
     weights: tuple[float, float, float] = (1.0, 1e-3, 1e-6)
     rule: str = "norm"
 
     def check(self) -> None:
         if self.tokens < 1 or self.documents < 1 or self.rule not in ("norm", "dot"):
             raise ValueError("capacities must be positive and rule norm or dot")
-        if self.cost < self.tokens * self.tokens:
-            raise ValueError("cost must admit one piece of full length")
+        if self.cost < self.piece**2 or not 1 <= self.piece <= self.tokens:
+            raise ValueError("tokens and cost must admit one piece of full length")
+
+    @property
+    def piece(self) -> int:
+        return self.tokens if self.longest is None else self.longest
+
+
+#: Sequences of double length whose attention costs no more than one of a single piece, of few documents: here every capacity binds.
+BALANCED = Limits(tokens=2048, documents=8, cost=1024 * 1024, longest=1024)
 
 
 def cut_lengths(n: int, most: int) -> list[tuple[int, int]]:
@@ -220,18 +230,24 @@ def tokenised_pieces(docs: DataFrame, encoder: Callable[[], ByteBpe], most: int,
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, limits: Limits = Limits(), encoder: Callable[[], ByteBpe] = public_byte_bpe, end: int | None = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, limits: Limits = Limits(), encoder: Callable[[], ByteBpe] = public_byte_bpe, end: int | None = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, also: dict[str, Limits] | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece (and ids as uint32 bytes if asked for).
 
+    also: the same pieces packed under other limits too, as NAME_sequence_id and NAME_offset.
+
     A document without tokens (only if end is None) has one piece of length zero
     with sequence_id and offset null.
     """
-    limits.check()
-    pieces = stored(tokenised_pieces(docs, encoder, limits.tokens, end, id_col, text_col, with_ids))
+    every = {"": limits} | {f"{name}_": own for name, own in (also or {}).items()}
+    for own in every.values():
+        own.check()
+        if own.piece != limits.piece:
+            raise ValueError("all limits must have the same longest piece")
+    pieces = stored(tokenised_pieces(docs, encoder, limits.piece, end, id_col, text_col, with_ids))
     by_part = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     base = by_part.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most limits.tokens + 1 rows
-    made = plan({k: v for k, v in counts.items() if k}, limits)
+    made = [plan({k: v for k, v in counts.items() if k}, own) for own in every.values()]
     sent = pieces.sparkSession.sparkContext.broadcast(made)  # ranges by length: as many as kinds of bins, not as pieces
     ranked = pieces.join(base.select("length", "part", "base"), ["length", "part"]).select(*[c for c in pieces.columns if c not in ("part", "nth")], (F.col("base") + F.col("nth")).alias("rank"))
     cols = ranked.columns[:-1]
@@ -240,11 +256,14 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), encoder: Callable
         for b in batches:
             length = b.column(b.schema.get_field_index("length")).to_numpy(zero_copy_only=False)
             rank = b.column(b.schema.get_field_index("rank")).to_numpy(zero_copy_only=False)
-            some = length > 0
-            seq, off = np.zeros((2, len(length)), np.int64)
-            if some.any():
-                seq[some], off[some] = place(sent.value, length[some], rank[some])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(seq, mask=~some), pa.array(off, mask=~some)], [*cols, "sequence_id", "offset"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema.fields[:-1])
-    return ranked.mapInArrow(run, f"{schema}, sequence_id bigint, offset bigint")
+            some, found = length > 0, []
+            for own in sent.value:
+                seq, off = np.zeros((2, len(length)), np.int64)
+                if some.any():
+                    seq[some], off[some] = place(own, length[some], rank[some])
+                found += [pa.array(seq, mask=~some), pa.array(off, mask=~some)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), *found], [*cols, *places])
+
+    places = [f"{name}{c}" for name in every for c in ("sequence_id", "offset")]
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema.fields[:-1]), *(f"{c} bigint" for c in places)])
+    return ranked.mapInArrow(run, schema)

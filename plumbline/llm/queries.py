@@ -23,9 +23,9 @@ def op2_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from plumbline.llm.packing import pack_documents
+    from plumbline.llm.packing import BALANCED, pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(table(spark, sf_dir, "documents"), also={"balanced": BALANCED})
 
 
 def op4_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from plumbline.llm.packing import Limits, cut_lengths, pack_documents, place, plan, public_byte_bpe
+from plumbline.llm.packing import BALANCED, Limits, cut_lengths, pack_documents, place, plan, public_byte_bpe
 
 SF = "/root/testdata/sf0.01"
 
@@ -44,6 +44,44 @@ def test_plan_is_tight():
     assert p.sequences <= 1.005 * -(-sum(k * v for k, v in counts.items()) // 1024) + 1
 
 
+def slow_plan(counts, limits):
+    """Vector best-fit, a piece at a time."""
+    caps = np.array([limits.tokens, limits.documents, limits.cost], float)
+    bins = []
+    for length in sorted((k for k, n in counts.items() for _ in range(n)), reverse=True):
+        need = np.array([length, 1, length * length])
+        best = None
+        for b in bins:
+            if (b >= need).all():
+                score = float(((b - need) ** 2 / caps**2 * limits.weights).sum()) if limits.rule == "norm" else -float((b * need / caps**2 * limits.weights).sum())
+                best = (score, id(b), b) if best is None or score < best[0] else best
+        if best is None:
+            best = (0, 0, caps.copy())
+            bins.append(best[2])
+        best[2][:] -= need
+    return len(bins)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 16), st.integers(0, 25)), st.integers(1, 6), st.sampled_from(["norm", "dot"]), st.integers(256, 500))
+def test_plan_under_binding_limits(counts, documents, rule, cost):
+    limits = Limits(tokens=32, documents=documents, cost=cost, rule=rule, longest=16)
+    p = check_plan(counts, limits)
+    assert p.sequences <= 1.25 * slow_plan(counts, limits) + 2
+
+
+def test_every_capacity_binds():
+    rng = np.random.default_rng(0)
+    counts = dict(Counter(np.minimum(1024, rng.geometric(0.004, 20000)).tolist()))
+    p = plan(counts, BALANCED)
+    bins = defaultdict(list)
+    for length, n in counts.items():
+        for s in place(p, np.full(n, length), np.arange(n))[0].tolist():
+            bins[s].append(length)
+    full = Counter("documents" if len(x) == 8 else "cost" if sum(i * i for i in x) > 0.9 * BALANCED.cost else "tokens" if sum(x) > 0.95 * 2048 else "" for x in bins.values())
+    assert min(full[c] for c in ("documents", "cost", "tokens")) > 10, full
+
+
 def test_limits_are_checked():
     for bad in (Limits(tokens=0), Limits(cost=5), Limits(rule="x")):
         with pytest.raises(ValueError):
@@ -97,6 +135,22 @@ def test_odd_rows(spark):
     assert [(r["length"], r["sequence_id"]) for r in none] == [(0, None)]
 
 
+def test_the_same_pieces_under_other_limits(spark):
+    texts = [(i, "word " * (i * 37 % 1500)) for i in range(120)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    rows = packed(df, also={"balanced": BALANCED})
+    verify(rows, texts, Limits())
+    by_seq = defaultdict(list)
+    for r in rows:
+        by_seq[r["balanced_sequence_id"]].append((r["balanced_offset"], r["length"]))
+    for items in by_seq.values():
+        lengths = [n for _, n in sorted(items)]
+        assert [o for o, _ in sorted(items)] == [sum(lengths[:i]) for i in range(len(lengths))]
+        assert sum(lengths) <= 2048 and len(lengths) <= 8 and sum(n * n for n in lengths) <= BALANCED.cost
+    with pytest.raises(ValueError):
+        packed(df, also={"odd": Limits(tokens=64, cost=4096)})
+
+
 def test_whole_small_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(5)
     texts = [(r.doc_id, r.text) for r in docs.collect()]
