@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.arrays import packed, packed_sorted, starts, unpacked, unpacked_sorted
-from plumbline.llm.common import as_bytes, chunks, stored
+from plumbline.llm.common import as_bytes, chunks, give_back, stored
 from plumbline.llm.labels import held_out, training_rows
 from plumbline.llm.words import blocks, hashes
 
@@ -86,12 +86,15 @@ def context_sums(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 h, of = np.concatenate((last, hashes(data, start, end))), np.concatenate((last_of, of))
                 seen[add_contexts(total, h, of, len(last))] = True
                 last, last_of = h[-WINDOW:], of[-WINDOW:]
+            give_back()
         rows = np.flatnonzero(seen)
         at = starts(rows // SEGMENT)
         for lo, hi in zip(at, np.append(at, len(rows))[1:], strict=True):
             own = total[rows[lo:hi]].ravel()
             own = (own << 1 ^ own >> 31).astype(np.uint32)  # signs go to the last bit
             yield pa.RecordBatch.from_arrays([pa.array([rows[lo] // SEGMENT], pa.int32()), pa.array([packed_sorted(rows[lo:hi])], pa.binary()), pa.array([packed(own)], pa.binary())], ["segment", "rows", "sums"])
+        del total, seen
+        give_back()
 
     def merge(group: pa.Table) -> pa.Table:
         segment = group["segment"][0].as_py()
@@ -266,6 +269,7 @@ def score_documents(docs: DataFrame, model, folds: int, fold: int, threshold: fl
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sent.value.scores(b.column(2).to_pylist()), pa.float64())], ["doc_id", "held_out", "score"])
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     found = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col, folds, fold).alias("held_out"), as_bytes(text_col).alias("data")).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double")
@@ -281,5 +285,6 @@ def keep_by_score(docs: DataFrame, model, keep, text_col: str = "text") -> DataF
         for b in chunks(batches):
             scores = sent.value.scores([(t or "").encode() for t in b.column(at).to_pylist()])
             yield b.filter(pa.array(keep(scores)))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -16,7 +16,7 @@ from plumbline.llm.common import WHITE
 BLANK = np.zeros(256, bool)
 BLANK[list(WHITE)] = True
 #: Bytes that are hashed at a time; a block ends at white space, so a longer word makes it longer.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _RNG = np.random.default_rng(5)
 NUMBERS = _RNG.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
