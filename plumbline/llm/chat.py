@@ -16,7 +16,9 @@ exactly what went in.
 Null roles and texts are empty, null scores 0. A parent that isn't in its tree makes
 its children roots. Messages on a cycle, or below one, are on no root's path and are
 left out. Repeated ids of a tree are a caller's error and raise. Null tree ids form
-one tree. An empty table gives no rows.
+one tree. An empty table gives no rows. Very long texts are rows like others and are
+joined to the paths last; ties of score go to the least leaf. Columns other than the
+six have no effect, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut
+from plumbline.llm.common import cut, stored
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 ASSISTANT = "assistant"
@@ -75,12 +77,11 @@ def root_to_leaf_paths(messages: DataFrame, paths: int | None = None) -> DataFra
     messages: tree, msg, parent, role, text, score. rank from 1 by falling mean
     score, ties by leaf id; depth from 0 at the root.
     """
-    own = messages.select("tree", "msg", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    own = stored(messages.select("tree", "msg", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")))
     if not own.groupBy("tree", "msg").count().where("count > 1").isEmpty():
         raise ValueError("a tree holds the same message id more than once")
-    a, b = own.alias("a"), own.alias("b")
-    known = a.join(b.select("tree", "msg").alias("b"), _on("a", "parent", "b", "msg"), "left").select("a.tree", "a.msg", F.col("b.msg").alias("parent"), "a.role", "a.text", "a.score")
-    nodes = cut(known)
+    a, b = own.select("tree", "msg", "parent", "score").alias("a"), own.select("tree", "msg").alias("b")
+    nodes = cut(a.join(b, _on("a", "parent", "b", "msg"), "left").select("a.tree", "a.msg", F.col("b.msg").alias("parent"), "a.score"))  # texts join the paths at the end
     levels, whole = _lookups(nodes)
     parents = nodes.where("parent is not null").select("tree", "parent").distinct()
     leaves = whole.alias("a").join(parents.alias("b"), _on("a", "msg", "b", "parent"), "left_anti").select("tree", F.col("msg").alias("leaf"), (F.col("total") / F.col("hops")).alias("path_score"), "hops")
@@ -90,7 +91,7 @@ def root_to_leaf_paths(messages: DataFrame, paths: int | None = None) -> DataFra
         step = levels[j].select("tree", "msg", "up")
         above = listed.alias("a").join(step.alias("b"), _on("a", "msg", "b", "msg")).select("a.tree", "a.leaf", "a.path_score", "a.hops", "a.rank", F.col("b.up").alias("msg"), (F.col("a.depth") - (1 << j)).alias("depth"))
         listed = cut(listed.unionByName(above))
-    return listed.alias("a").join(nodes.alias("b"), _on("a", "msg", "b", "msg")).select("a.tree", "a.leaf", "a.rank", "a.path_score", "a.depth", "b.role", "b.text")
+    return listed.alias("a").join(own.alias("b"), _on("a", "msg", "b", "msg")).select("a.tree", "a.leaf", "a.rank", "a.path_score", "a.depth", "b.role", "b.text")
 
 
 def format_paths(listed: DataFrame, trained: str = ASSISTANT) -> DataFrame:
