@@ -18,7 +18,9 @@ probabilities.
 
 Null texts are empty; a text without words has the sample's share of toxic documents
 as score. Without labels of both kinds every score is that share (0.5 without any).
-Rows with equal doc_id each get a row. An empty table gives no rows.
+Rows with equal doc_id each get a row. An empty table gives no rows. Very long texts are
+scored whole; their ties of windows make no difference. Other columns have no effect on
+scores, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import LOWER_AZ
 from plumbline.llm.labels import training_rows
 
-SPAN, STRIDE = 32, 24
+SPAN, STRIDE = 32, 16
 WORD_ROWS, WORD_SIZE = 1 << 16, 4
 GRAM_ROWS, GRAM_SIZE, GRAM = 1 << 16, 8, 5
 INPUT = 2 * WORD_SIZE + GRAM_SIZE + 1
