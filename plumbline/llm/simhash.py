@@ -20,7 +20,8 @@ them. Two values within two bits that differ outside the equal bits always share
 value, and two that share one are within two bits, so this finds the same classes with
 a number of rows linear in the bucket. A value has 65 names at most.
 
-Null texts are empty texts. Rows with equal doc_id each get a row. A null doc_id
+Null texts are empty texts; very long ones are hashed whole, in blocks. Other columns have no
+effect, whatever their names. Rows with equal doc_id each get a row. A null doc_id
 takes part, but is never a component's name unless the class has no other id.
 """
 

@@ -15,7 +15,8 @@ Captures without a host or a fetch time are never blocked. Repeated captures eac
 get a row. At equal times of a key "add" wins; repeated changes count once; changes
 with a null key or time, or another action, have no effect. A key matches itself and
 its subdomains; keys are compared in lower case without a dot at the end. Empty
-tables on either side give no rows, or nothing blocked.
+tables on either side give no rows, or nothing blocked. Very long URLs are URLs like
+others. Other columns have no effect, whatever their names.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ payloads of at least `least` bytes the row with the largest page_id is the respo
 (rows that tie with it are responses too) and the others are revisits; without any
 page_id in the group all are responses. A row with null page_id revisits the group's
 response. Null urls leave the target header out. Rows with equal page_id each get a
-record. An empty table gives no records.
+record. An empty table gives no records. Very long payloads are one record each. Other
+columns have no effect, whatever their names.
 """
 
 from __future__ import annotations
