@@ -58,6 +58,13 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) if b in set(shown) else chr(next(rest)) for b in range(256)}
 
 
+#: Most words: letters of ASCII, and perhaps marks after them.
+SIMPLE = re.compile(rb"([A-Za-z]+)([.,;:!?]*)").fullmatch
+#: Bits of a symbol in a number of two, and what no pair's rank reaches.
+BITS = 20
+MASK, NONE = (1 << BITS) - 1, 1 << 3 * BITS
+
+
 class Vocabulary:
     """What a tokenizers file says: special strings, normal form, split, ids and merges."""
 
@@ -76,10 +83,10 @@ class Vocabulary:
         self.byte_of = {c: b for b, c in chars.items()}
         self.inner = [ids[chars[b]] for b in range(256)]
         self.last = [ids[chars[b] + end] for b in range(256)]
-        self.merges = {}
+        self.merges = {}  # both symbols in one number: rank and new symbol in one number
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
+            self.merges.setdefault(ids[a] << BITS | ids[b], rank << BITS | ids[a + b])
         self.special = {x["content"]: x["id"] for x in said["added_tokens"]}
         self.cut = re.compile("|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)).encode() or rb"(?!)")
         tokens = {v: k for k, v in ids.items()} | {v: k for k, v in self.special.items()}
@@ -87,6 +94,9 @@ class Vocabulary:
 
     def pieces(self, word: bytes) -> list[bytes]:
         """Normalised pieces of a run without ASCII white space, as UTF-8."""
+        if simple := SIMPLE(word):  # letters, then marks that stay together
+            letters, marks = simple.groups()
+            return [letters.lower(), marks] if marks else [letters.lower()]
         text = word.decode("utf-8")
         if PLAIN(text):
             text = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
@@ -100,22 +110,22 @@ class Vocabulary:
         if len(symbols) >= LONG:
             return self._merge_long(symbols)
         get = self.merges.get
-        while len(symbols) > 1:
-            best = None
-            for i in range(len(symbols) - 1):
-                found = get((symbols[i], symbols[i + 1]))
-                if found is not None and (best is None or found[0] < best[0]):
-                    best, at = found, i
-            if best is None:
-                break
-            symbols[at : at + 2] = [best[1]]
+        found = [get(a << BITS | b, NONE) for a, b in zip(symbols, symbols[1:])]
+        while found and (best := min(found)) != NONE:
+            i = found.index(best)
+            symbols[i : i + 2] = [best & MASK]
+            del found[i]
+            if i < len(found):
+                found[i] = get(symbols[i] << BITS | symbols[i + 1], NONE)
+            if i:
+                found[i - 1] = get(symbols[i - 1] << BITS | symbols[i], NONE)
         return symbols
 
     def _merge_long(self, symbols: list[int]) -> list[int]:
         get = self.merges.get
         after = [*range(1, len(symbols)), -1]
         before = [*range(-1, len(symbols) - 1)]
-        heap = [(m[0], i, m[1], symbols[i], symbols[i + 1]) for i in range(len(symbols) - 1) if (m := get((symbols[i], symbols[i + 1])))]
+        heap = [(m >> BITS, i, m & MASK, symbols[i], symbols[i + 1]) for i in range(len(symbols) - 1) if (m := get(symbols[i] << BITS | symbols[i + 1], NONE)) != NONE]
         heapq.heapify(heap)
         while heap:
             _, i, new, a, b = heapq.heappop(heap)
@@ -127,8 +137,8 @@ class Vocabulary:
             if after[i] >= 0:
                 before[after[i]] = i
             for left in (before[i], i):
-                if left >= 0 and (right := after[left]) >= 0 and (m := get((symbols[left], symbols[right]))):
-                    heapq.heappush(heap, (m[0], left, m[1], symbols[left], symbols[right]))
+                if left >= 0 and (right := after[left]) >= 0 and (m := get(symbols[left] << BITS | symbols[right], NONE)) != NONE:
+                    heapq.heappush(heap, (m >> BITS, left, m & MASK, symbols[left], symbols[right]))
         return [s for s in symbols if s >= 0]
 
 
@@ -239,13 +249,22 @@ class Encoder(dict):
         if len(self) >= KEPT:
             self.clear()
         known = self.parts
-        found = self[word] = b"".join([known.get(p) or self._piece(p) for p in self.vocabulary.pieces(word)])
+        if simple := SIMPLE(word):  # its letters, in lower case, are a word themselves
+            letters, marks = simple.groups()
+            low = letters.lower()
+            found = self._ids(word) if low == word else self[low] + (known.get(marks) or self._piece(marks)) if marks else self[low]
+        else:
+            found = b"".join([known.get(p) or self._piece(p) for p in self.vocabulary.pieces(word)])
+        self[word] = found
         return found
 
+    def _ids(self, piece: bytes) -> bytes:
+        return self.lexicon.get(piece) or array("I", self.vocabulary.merge(piece)).tobytes()
+
     def _piece(self, piece: bytes) -> bytes:
         if len(self.parts) >= KEPT:
             self.parts.clear()
-        found = self.parts[piece] = self.lexicon.get(piece) or array("I", self.vocabulary.merge(piece)).tobytes()
+        found = self.parts[piece] = self._ids(piece)
         return found
 
     def encode(self, text: bytes) -> bytes:
