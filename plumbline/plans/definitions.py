@@ -6,6 +6,7 @@ import json
 import sys
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
@@ -118,16 +119,17 @@ def kind_of(uid: str, known: list[str]) -> str:
     return "dynamic"
 
 
-def not_ready(things: list, probe: Callable[[object], bool]) -> dict[str, str]:
-    """What isn't ready to be asked, and why; run before a plan is made."""
-    out = {}
-    for t in things:
+def not_ready(things: list, probe: Callable[[object], bool], threads: int = 8) -> dict[str, str]:
+    """What isn't ready to be asked, and why; run before a plan is made, some at a time."""
+
+    def why(thing) -> str | None:
         try:
-            if not probe(t):
-                out[t.uid] = "not ready"
+            return None if probe(thing) else "not ready"
         except Exception as e:  # a probe that fails says why
-            out[t.uid] = f"{type(e).__name__}: {e}"
-    return out
+            return f"{type(e).__name__}: {e}"
+
+    with ThreadPoolExecutor(threads) as pool:
+        return {t.uid: w for t, w in zip(things, pool.map(why, things), strict=True) if w is not None}
 
 
 @dataclass

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.store import shared_dir
+
 
 def windowed_counts(entries: DataFrame, time: str = "ts", window: str = "1 day", late: str = "1 day") -> DataFrame:
     """Entries by window and message; those later than the watermark are dropped by the engine."""
@@ -25,11 +27,18 @@ def counts_of_stream(spark: SparkSession, path: str) -> DataFrame:
     """(day, message, entries) of the event files at path, read as a stream until all that is there is counted."""
     kind = F.col("event_type")
     message = F.when(kind == "view", "queuing item").when(kind == "click", "translated sut response").when(kind == "purchase", "measured item quality").when(kind == "error", "sut exception").otherwise("using test items")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    whole = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     folder, _, name = path.rpartition("/")
-    schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
-    out = f"counts_{uuid.uuid4().hex}"
+    stream = reader.parquet(path) if whole else reader.option("pathGlobFilter", name).parquet(folder)  # streams read folders
     counted = windowed_counts(stream.select(F.col("ts").cast("timestamp").alias("ts"), message.alias("message")))
-    done = counted.writeStream.format("memory").queryName(out).outputMode("complete").trigger(availableNow=True).start()
-    done.awaitTermination()
-    return spark.table(out).select(F.col("w.start").cast("date").alias("day"), "message", "entries")
+    place, done = f"{shared_dir(spark).rstrip('/')}/counts/{uuid.uuid4().hex}", []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/{number}")
+        done.append(number)
+
+    counted.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    kept = spark.read.schema(counted.schema).parquet(f"{place}/{done[-1]}") if done else spark.createDataFrame([], counted.schema)
+    return kept.select(F.col("w.start").cast("date").alias("day"), "message", "entries")
