@@ -20,6 +20,10 @@ them. Two values within two bits that differ outside the equal bits always share
 value, and two that share one are within two bits, so this finds the same classes with
 a number of rows linear in the bucket. A value has 65 names at most.
 
+A similarity of far less than that, such as a Jaccard similarity of 0.8 of shingle sets, is an
+angle at which 15 % of the bits differ: 64 bits then have no chain that is both equal and
+selective. ring_groups() takes a ring of RING segments of 16 bits for that, see there.
+
 Null texts are empty texts; very long ones are hashed whole, in blocks. Other columns have no
 effect, whatever their names. Rows with equal doc_id each get a row. A null doc_id
 takes part, but is never a component's name unless the class has no other id.
@@ -37,6 +41,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import LOWER_AZ, as_bytes, chunks, cut, stored
 from plumbline.llm.components import connected_components
+from plumbline.llm.words import mixed
 
 SEED = 42
 #: Segments of the ring for each bit of the radius, and the largest radius.
@@ -45,6 +50,15 @@ FINE, WIDEST = 8, 8
 CROWDED = 74
 #: Hashes whose bits are counted at a time.
 BLOCK = 1 << 16
+#: Segments of 16 bits of a wide fingerprint's ring, those of a chain after its start, and the bits in which a chain may differ for each of its segments.
+RING, AFTER, SPARE = 160, 4, 3
+_SALT = np.random.default_rng(17).integers(0, 1 << 63, RING // 4, np.uint64)
+#: Hashes whose wide bits are counted at a time, as many as a byte holds.
+ROOM = 255
+#: A start of a node: its own segment, the four after it, the node.
+START = np.dtype([("key", "<u2"), ("chain", "<u8"), ("node", "<i8")])
+#: Bytes of starts that meet in one call, about, and the records of one segment from which on they are gone through one by one.
+CELL, MANY = 4 << 20, 1024
 
 
 def shingle_hashes(data: bytes, width: int = 3) -> list[int]:
@@ -130,6 +144,108 @@ def links(nodes: DataFrame, radius: int = 2, crowded: int = CROWDED) -> DataFram
     return pairs.unionByName(stars.select(F.col("fp").alias("a"), "b")).distinct()
 
 
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """The ring of a set of 64-bit hashes: each gives RING * 16 bits, and one of the ring is 1 if it is set in over half of them."""
+    ones = np.zeros(RING * 16, np.int64)
+    for at in range(0, len(hashes), ROOM):
+        bits = mixed(hashes[at : at + ROOM, None] ^ _SALT)
+        ones += np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes()
+
+
+def chained(key: np.ndarray, chain: np.ndarray, many: int = MANY) -> np.ndarray:
+    """The first record of each record's group; records of one key (sorted) are joined if their chains are within the budget."""
+    most = SPARE * (AFTER + 1)
+    root = np.arange(len(key))
+    edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    sizes = np.diff(edges)
+    at, end, a, b = root, np.repeat(edges[1:], sizes), [], []
+    at = at[np.repeat(sizes, sizes) < many]
+    for step in range(1, many):
+        at = at[at + step < end[at]]
+        if not len(at):
+            break
+        near = at[np.bitwise_count(chain[at] ^ chain[at + step]) <= most]
+        a.append(near)
+        b.append(near + step)
+    if a:
+        a, b = np.concatenate(a), np.concatenate(b)
+        while len(a):
+            least = np.minimum(root[a], root[b])
+            np.minimum.at(root, root[a], least)
+            np.minimum.at(root, root[b], least)
+            while (root[root] != root).any():
+                root = root[root]
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+    for i in np.flatnonzero(sizes >= many).tolist():
+        left = np.arange(edges[i], edges[i + 1])
+        while len(left):
+            first, left = left[0], left[1:]
+            todo = [first]
+            while todo and len(left):
+                near = np.bitwise_count(chain[left] ^ chain[todo.pop()]) <= most
+                found, left = left[near], left[~near]
+                root[found] = first
+                todo += found.tolist()
+    return root
+
+
+def ring_groups(nodes: DataFrame, cell: int = CELL) -> DataFrame:
+    """(k, node): the groups in which nodes of nodes(node, ring) may be similar, by a node k of theirs.
+
+    Ring is a wide_fingerprint(). By the pigeonring principle two rings within
+    SPARE * RING bits (480 of 2560; at a Jaccard similarity of 0.8 some 390 differ, with a
+    deviation of 18) have a start from which every chain of l segments differs in at most
+    SPARE * l bits. The join key is a start whose own segment is equal; the chain of it and
+    the AFTER segments that follow must be within its budget. A start is both with
+    probability 0.073 at 0.8, so a pair there has none of the RING starts with
+    probability 5e-6, and less above; of unlike pairs 1 in 30 million passes by any start.
+    More rings behind the first one take part by their first start only.
+
+    The nodes that chains join at a start are one group; groups of all starts that have
+    the same least node are one. Starts meet in cells of about so many bytes, but none is
+    split: a segment that many nodes share costs comparisons in the square of those that no
+    chain joins to an earlier one.
+    """
+    parts = 1
+    while parts < 1 << 16 and nodes.count() * START.itemsize > cell * parts:
+        parts *= 2
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in chunks([batch], 1 << 13):
+                rings = b.column(1).to_pylist()
+                node = np.repeat(b.column(0).to_numpy(), [len(r) // (RING * 2) for r in rings])
+                ring = np.frombuffer(b"".join(rings), "<u2").reshape(-1, RING)
+                for i in range(RING):
+                    if i == 1:
+                        first = np.concatenate(([True], node[1:] != node[:-1]))
+                        node, ring = node[first], ring[first]
+                        ring = np.concatenate((ring, ring[:, :AFTER]), axis=1)
+                    start = np.empty(len(node), START)
+                    start["key"], start["node"] = ring[:, i], node
+                    start["chain"] = np.ascontiguousarray(ring[:, i + 1 : i + 1 + AFTER]).view("<u8").ravel()
+                    part = start["key"] & np.uint16(parts - 1)
+                    order = np.argsort(part, kind="stable")
+                    edges = np.flatnonzero(np.concatenate(([True], np.diff(part[order]) != 0, [True])))
+                    start = start[order]
+                    cells = i * parts + part[order][edges[:-1]].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array([start[s:e].tobytes() for s, e in zip(edges[:-1], edges[1:])], pa.binary())], ["cell", "starts"])
+
+    def meet(group: pa.Table) -> pa.Table:
+        start = np.frombuffer(b"".join(group["starts"].to_pylist()), START)
+        start = start[np.argsort(start["key"], kind="stable")]
+        node = np.ascontiguousarray(start["node"])
+        root = chained(np.ascontiguousarray(start["key"]), np.ascontiguousarray(start["chain"]))
+        least = node.copy()
+        np.minimum.at(least, root, node)
+        among = (np.bincount(root, minlength=len(root)) > 1)[root]
+        return pa.table({"k": least[root[among]], "node": node[among]})
+
+    return nodes.mapInArrow(deal, "cell int, starts binary").groupBy("cell").applyInArrow(meet, "k bigint, node bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, crowded: int = CROWDED) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs.
 

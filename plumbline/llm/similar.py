@@ -1,18 +1,19 @@
-"""Near-duplicate classes by the Jaccard similarity of word shingles.
+"""Near-duplicate classes by SimHash and the Jaccard similarity of word shingles.
 
 A document is its set of shingles: each `width` words of the A-Z-lowered text, by a
 64-bit hash; fewer words are one shingle. Two documents link if their sets' similarity
-is at least `least`, checked on the whole sets. Candidates share one of BANDS bands of
-ROWS minhashes: a pair at similarity s shares none with probability
-(1 - s ** ROWS) ** BANDS, which is 6e-5 at 0.8 and less above.
+is at least `least`, checked on the whole sets. Candidates are found by SimHash: chains
+of the ring of wide fingerprints (simhash.ring_groups(), with the probability of a miss,
+which is made for 0.8 and more). Few shingles make coarse bits, so a set of up to SMALL
+also stands there as each set that lacks one of them: of so small sets none is missed.
 
-Equal sets become one node first. A band's bucket with several nodes is checked once,
-however many bands have the same nodes. Its texts meet in one task if they have at most
+Equal sets become one node first. A group of candidates is checked once, however many
+starts of the ring have it. Its texts meet in one task if they have at most
 WEIGHT shingles together; else they are dealt to parts of about that size, and every
 two parts meet. A task compares a text with those that no link found there yet joins it
 to, and returns links that span what it found: a link inside a component changes
-nothing. No bucket is capped. The rows of a bucket grow with its nodes times its parts;
-a bucket of very many texts that are alike, but not alike enough, costs comparisons in
+nothing. No group is capped. The rows of a group grow with its nodes times its parts;
+a group of very many texts that are alike, but not alike enough, costs comparisons in
 the square of its size.
 
 Null texts are empty texts; all texts without words are one class. Very long texts are
@@ -32,16 +33,12 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import LOWER_AZ, as_bytes, chunks, cut, stored
 from plumbline.llm.components import connected_components
+from plumbline.llm.simhash import ring_groups, wide_fingerprint
 from plumbline.llm.words import mixed, word_hashes
 
-BANDS, ROWS = 32, 6
-HASHES = BANDS * ROWS
-_RNG = np.random.default_rng(11)
-XOR = _RNG.integers(0, 1 << 32, (HASHES, 1), np.uint32)
-MUL = _RNG.integers(0, 1 << 32, (HASHES, 1), np.uint32) | np.uint32(1)
-#: Shingles that are hashed at a time.
-BLOCK = 1 << 12
-#: Shingles of a bucket's texts that meet in one task.
+#: Shingles of a set up to which it stands as its parts, too.
+SMALL = 8
+#: Shingles of a group's texts that meet in one task.
 WEIGHT = 1 << 20
 
 
@@ -57,43 +54,40 @@ def shingles(text: bytes, width: int) -> np.ndarray:
     return np.unique(mixed(key))
 
 
-def minhashes(own: np.ndarray) -> np.ndarray:
-    x = own.astype(np.uint32)
-    out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), BLOCK):
-        np.minimum(out, ((x[at : at + BLOCK] ^ XOR) * MUL).min(axis=1), out=out)
-    return out
-
-
-LONGS = pa.list_(pa.int64())
-
-
 def _signed(values: list[int]) -> np.ndarray:
     return np.array(values, np.uint64).view(np.int64)
 
 
-def marks(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, node, n, bands) of every row; node is the hash of its n shingles."""
+def rings(own: np.ndarray, least: float) -> bytes:
+    """The wide fingerprint of a set and, if it is small, of all that lack one shingle; none if only equal sets are similar."""
+    if len(own) * (1 - least) < least - 1e-9:
+        return b""
+    parts = [np.delete(own, i) for i in range(len(own))] if len(own) <= SMALL else []
+    return b"".join(map(wide_fingerprint, [own, *parts]))
+
+
+def marks(docs: DataFrame, id_col: str, text_col: str, width: int, least: float) -> DataFrame:
+    """(doc_id, node, n, ring) of every row; node is the hash of its n shingles."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
-            nodes, sizes, bands = [], [], []
+            nodes, sizes, ring = [], [], []
             for text in b.column(1).to_pylist():
                 own = shingles(text, width)
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), 1))
                 sizes.append(len(own))
-                bands.append(_signed([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(minhashes(own).reshape(BANDS, ROWS))]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_signed(nodes)), pa.array(sizes, pa.int64()), pa.array(bands, LONGS)], ["doc_id", "node", "n", "bands"])
+                ring.append(rings(own, least))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_signed(nodes)), pa.array(sizes, pa.int64()), pa.array(ring, pa.binary())], ["doc_id", "node", "n", "ring"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), as_bytes(text_col).alias("data")).mapInArrow(run, f"doc_id {kind}, node bigint, n bigint, bands array<bigint>")
+    return docs.select(F.col(id_col).alias("doc_id"), as_bytes(text_col).alias("data")).mapInArrow(run, f"doc_id {kind}, node bigint, n bigint, ring binary")
 
 
 def meetings(nodes: DataFrame, weight: int) -> DataFrame:
-    """(node, least, at): where each node of nodes(node, least, n, bands) meets others; at has structs (k, i, j, part): a bucket, the two parts that meet, and the node's own."""
-    keys = nodes.select("node", "least", "n", F.explode("bands").alias("k"))
-    buckets = keys.groupBy("k").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.min("node").alias("first"), F.bit_xor(F.xxhash64("node")).alias("all")).where("size > 1")
-    once = stored(buckets.groupBy("size", "weight", "first", "all").agg(F.min("k").alias("k")).select("k", F.ceil(F.col("weight") / weight).cast("int").alias("parts")))
+    """(node, least, at): where each node of nodes(node, least, n, ring) meets others; at has structs (k, i, j, part): a group, the two parts that meet, and the node's own."""
+    groups = stored(ring_groups(nodes.select("node", "ring").where("length(ring) > 0")))
+    keys = nodes.select("node", "least", "n").join(groups, "node")
+    once = cut(keys.groupBy("k").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1").select("k", F.ceil(F.col("weight") / weight).cast("int").alias("parts")))
     members = keys.join(once, "k").withColumn("part", F.pmod(F.xxhash64("node"), F.greatest("parts", F.lit(1))).cast("int"))
     each = F.transform(F.sequence(F.lit(0), F.greatest(F.col("parts") - 1, F.lit(0))), lambda j: F.struct(F.col("k"), F.least("part", j).alias("i"), F.greatest("part", j).alias("j"), F.col("part")))
     return members.groupBy("node", "least").agg(F.flatten(F.collect_list(each)).alias("at"))
@@ -159,8 +153,8 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Of rows with the same id the texts must be the same; see simhash.keep_representatives().
     """
-    marked = stored(marks(docs, id_col, text_col, width))
-    nodes = stored(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    marked = stored(marks(docs, id_col, text_col, width, least))
+    nodes = stored(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("ring").alias("ring")))
     where = stored(meetings(nodes, weight))
     if where.count() <= FEW:
         where = F.broadcast(where)
