@@ -192,7 +192,7 @@ def chained(key: np.ndarray, chain: np.ndarray, many: int = MANY) -> np.ndarray:
 
 
 def ring_groups(nodes: DataFrame, cell: int = CELL) -> DataFrame:
-    """(k, node): the groups in which nodes of nodes(node, ring) may be similar, by a node k of theirs.
+    """(k, node): the groups in which nodes of nodes(node, ring) may be similar, by their least node k; each in one at most.
 
     Ring is a wide_fingerprint(). By the pigeonring principle two rings within
     SPARE * RING bits (480 of 2560; at a Jaccard similarity of 0.8 some 390 differ, with a
@@ -203,13 +203,13 @@ def ring_groups(nodes: DataFrame, cell: int = CELL) -> DataFrame:
     probability 5e-6, and less above; of unlike pairs 1 in 30 million passes by any start.
     More rings behind the first one take part by their first start only.
 
-    The nodes that chains join at a start are one group; groups of all starts that have
-    the same least node are one. Starts meet in cells of about so many bytes, but none is
+    What chains join at any starts is one group, so a clump of near copies, whose nodes
+    meet at nearly every start, is so only once. Starts meet in cells of about so many bytes, but none is
     split: a segment that many nodes share costs comparisons in the square of those that no
     chain joins to an earlier one.
     """
-    parts = 1
-    while parts < 1 << 16 and nodes.count() * START.itemsize > cell * parts:
+    room, parts = nodes.count() * START.itemsize, 1
+    while parts < 1 << 16 and room > cell * parts:
         parts *= 2
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +243,13 @@ def ring_groups(nodes: DataFrame, cell: int = CELL) -> DataFrame:
         among = (np.bincount(root, minlength=len(root)) > 1)[root]
         return pa.table({"k": least[root[among]], "node": node[among]})
 
-    return nodes.mapInArrow(deal, "cell int, starts binary").groupBy("cell").applyInArrow(meet, "k bigint, node bigint").distinct()
+    dealt = nodes.mapInArrow(deal, "cell int, starts binary").repartition(1 + room * RING // (2 * cell), "cell")
+    met = dealt.groupBy("cell").applyInArrow(meet, "k bigint, node bigint")
+    # a node's groups hang on the least of them before any join: a row a node, and one for each two least nodes
+    least = met.groupBy("node").agg(F.collect_set("k").alias("all"), F.min("k").alias("b"))
+    links = least.select(F.explode(F.array_append("all", F.col("node"))).alias("a"), "b").where("a <> b").distinct()
+    roots = cut(connected_components(links).select(F.col("root").alias("k"), "node"))
+    return roots.unionByName(roots.select("k", F.col("k").alias("node")).distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, crowded: int = CROWDED) -> DataFrame:

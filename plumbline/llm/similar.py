@@ -7,8 +7,8 @@ of the ring of wide fingerprints (simhash.ring_groups(), with the probability of
 which is made for 0.8 and more). Few shingles make coarse bits, so a set of up to SMALL
 also stands there as each set that lacks one of them: of so small sets none is missed.
 
-Equal sets become one node first. A group of candidates is checked once, however many
-starts of the ring have it. Its texts meet in one task if they have at most
+Equal sets become one node first. Candidates that any starts of the ring join are one
+group, and a text is in one only. Its texts meet in one task if they have at most
 WEIGHT shingles together; else they are dealt to parts of about that size, and every
 two parts meet. A task compares a text with those that no link found there yet joins it
 to, and returns links that span what it found: a link inside a component changes
@@ -85,9 +85,9 @@ def marks(docs: DataFrame, id_col: str, text_col: str, width: int, least: float)
 
 def meetings(nodes: DataFrame, weight: int) -> DataFrame:
     """(node, least, at): where each node of nodes(node, least, n, ring) meets others; at has structs (k, i, j, part): a group, the two parts that meet, and the node's own."""
-    groups = stored(ring_groups(nodes.select("node", "ring").where("length(ring) > 0")))
+    groups = ring_groups(nodes.select("node", "ring").where("length(ring) > 0"))
     keys = nodes.select("node", "least", "n").join(groups, "node")
-    once = cut(keys.groupBy("k").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1").select("k", F.ceil(F.col("weight") / weight).cast("int").alias("parts")))
+    once = cut(keys.groupBy("k").agg(F.sum("n").alias("weight")).select("k", F.ceil(F.col("weight") / weight).cast("int").alias("parts")))
     members = keys.join(once, "k").withColumn("part", F.pmod(F.xxhash64("node"), F.greatest("parts", F.lit(1))).cast("int"))
     each = F.transform(F.sequence(F.lit(0), F.greatest(F.col("parts") - 1, F.lit(0))), lambda j: F.struct(F.col("k"), F.least("part", j).alias("i"), F.greatest("part", j).alias("j"), F.col("part")))
     return members.groupBy("node", "least").agg(F.flatten(F.collect_list(each)).alias("at"))

@@ -38,7 +38,8 @@ def test_pairs_at_the_similarity_meet_and_others_do_not(spark):
             rows += [(len(rows), rings(np.sort(own[: common + a]), 0.8)), (len(rows) + 1, rings(np.sort(np.concatenate((own[:common], own[common + a :]))), 0.8))]
     nodes = spark.createDataFrame(rows, KINDS)
     for cell in (simhash.CELL, 1 << 10):  # one cell a start, and many
-        assert pairs_of(map(tuple, ring_groups(nodes, cell).collect())) == want
+        got = [tuple(r) for r in ring_groups(nodes, cell).collect()]
+        assert pairs_of(got) == want and len(got) == len({node for _, node in got})
     assert ring_groups(nodes.limit(0)).collect() == []
     assert rings(np.arange(3, dtype=np.uint64), 0.8) == b""
 
