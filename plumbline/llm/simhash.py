@@ -199,8 +199,8 @@ def ring_groups(nodes: DataFrame, cell: int = CELL) -> DataFrame:
     deviation of 18) have a start from which every chain of l segments differs in at most
     SPARE * l bits. The join key is a start whose own segment is equal; the chain of it and
     the AFTER segments that follow must be within its budget. A start is both with
-    probability 0.073 at 0.8, so a pair there has none of the RING starts with
-    probability 5e-6, and less above; of unlike pairs 1 in 30 million passes by any start.
+    probability 0.070 at 0.8, so a pair there has none of the RING starts with
+    probability 9e-6, and less above; of unlike pairs 1 in 30 million passes by any start.
     More rings behind the first one take part by their first start only.
 
     What chains join at any starts is one group, so a clump of near copies, whose nodes
